@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlework.llm import lang_id, licences, mixing, token_counts, token_files
+from candlework.llm._store import Scratch
 from candlework.llm.decontaminate import decontaminate
 
 
@@ -19,6 +21,42 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-id files of documents, read back."""
+    path = Scratch(spark, "op2").path("tokens")
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path)
+    return token_files.with_crc32(token_files.read_token_files(spark, path))
+
+
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of whole documents and notices in their lines."""
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of documents."""
+    return token_counts.token_counts(_table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes from each document."""
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of documents, learned from those that aren't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    held = lang_id.is_held_out()
+    known = lang_id.profiles(docs.where(~held))
+    found = lang_id.identify(docs, known)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_winnowing": op1_winnowing,
+    "op2_token_files": op2_token_files,
+    "op3_licence_scan": op3_licence_scan,
+    "op6_token_counts": op6_token_counts,
+    "op9_mixing": op9_mixing,
+    "op10_language": op10_language,
 }
