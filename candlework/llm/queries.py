@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from candlework.llm import lang_id, licences, mixing, token_counts, token_files
 from candlework.llm._store import Scratch
 from candlework.llm.decontaminate import decontaminate
+from candlework.llm.near_dup import near_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,11 @@ def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents, on shingles of four words as the query's contract says."""
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of documents."""
     return token_counts.token_counts(_table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -56,6 +62,7 @@ QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_token_files": op2_token_files,
     "op3_licence_scan": op3_licence_scan,
+    "op4_near_duplicates": op4_near_duplicates,
     "op6_token_counts": op6_token_counts,
     "op9_mixing": op9_mixing,
     "op10_language": op10_language,
