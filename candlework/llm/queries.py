@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlework.llm import lang_id, licences, mixing, token_counts, token_files
+from candlework.llm import lang_id, licences, lm, mixing, token_counts, token_files
 from candlework.llm._store import Scratch
 from candlework.llm.decontaminate import decontaminate
+from candlework.llm.html_text import main_texts
 from candlework.llm.near_dup import near_duplicates
+from candlework.llm.vectors import near_duplicate_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,11 +41,27 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of documents."""
+    held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    return lm.score(_table(spark, sf_dir, "documents"), held_out=held)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of documents."""
     return token_counts.token_counts(_table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of pages."""
+    return main_texts(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate vectors."""
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes from each document."""
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("copies")
@@ -63,7 +81,10 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_licence_scan": op3_licence_scan,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_language_model": op5_language_model,
     "op6_token_counts": op6_token_counts,
+    "op7_html_text": op7_html_text,
+    "op8_near_vectors": op8_near_vectors,
     "op9_mixing": op9_mixing,
     "op10_language": op10_language,
 }
