@@ -10,11 +10,14 @@ Bands. The T coordinates make BANDS bands of ROWS; documents that share a band a
 that counts, 0.8, a pair shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, about 4e-6.
 
 Verification is on full sets. Equal sets are one class from the start. In each band's bucket first every class is
-compared to the bucket's smallest one only; the links found make components. Then, in buckets that still hold several
-components, classes of different components are compared to each other. Since 1 - similarity is a metric, a class at
-distance x from the bucket's smallest can only be linked to one at distance y if x and y differ by at most 0.2, so pairs
-are made inside and between neighbouring distance bins. No pair that shares a band and can be linked is left out unless
-its ends are connected already, and a group of copies costs in proportion to its size, not its square.
+compared to one pivot only, the class that meets most others in its buckets (of copies, that is their original); the
+links found make components. Then, in buckets that still hold several components, classes of different components are
+compared to each other, but for pairs that two bounds rule out. Since 1 - similarity is a metric, a class at distance x
+from the pivot can only be linked to one at distance y if x and y differ by at most 0.2, so pairs are made inside and
+between neighbouring distance bins. And shingles that no other class still in question has, u of n in one and v of m in
+the other, lie outside the intersection, so it is min(n - u, m - v) at most and the union larger by u + v at least. No
+pair that shares a band and can be linked is left out unless its ends are connected already, and a group of copies costs
+in proportion to its size, not its square.
 """
 
 from __future__ import annotations
@@ -123,11 +126,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     ids = every.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id"))
     classes = scratch.keep(ids.select("s1", "s2", F.coalesce("id", F.lit(-1) - F.abs(F.col("s1").bitwiseAND((1 << 62) - 1))).alias("cls")), "classes")
     member = scratch.keep(every.where("n > 0").join(classes, ["s1", "s2"]).select("id", "n", "cls", F.when(F.col("id").isNull() | (F.col("id") == F.col("cls")), F.col("bands")).alias("bands")), "members")
-    scratch_empty = every.where("n = 0").select("id", "n")
+    empty = every.where("n = 0").select("id", "n")
 
     # Buckets with several classes, and the rows in them.
     band = member.where("bands is not null").select("cls", "n", F.explode("bands").alias("key"))
-    buckets = band.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("key", "least")
+    buckets = band.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count(F.lit(1)).alias("size")).where("least < most").select("key", "size")
     buckets = scratch.keep(buckets, "buckets")
     shown = spark.sparkContext.broadcast(_bitmap.build(buckets, "key"))
 
@@ -143,10 +146,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(values[at])], ["cls", "n", "key"])
 
     few = member.where("bands is not null").select("cls", "n", "bands").mapInArrow(in_buckets, "cls long, n long, key long")
-    bucketed = scratch.keep(few.join(buckets, "key").select("key", "least", "cls", "n"), "bucketed")
+    bucketed = scratch.keep(few.join(buckets, "key").select("key", "size", "cls", "n"), "bucketed")
+    central = scratch.keep(bucketed.groupBy("cls").agg(F.sum("size").alias("central")), "central")
+    pivots = bucketed.join(central, "cls").groupBy("key").agg(F.max(F.struct("central", "cls"))["cls"].alias("pivot"))
+    pivots = scratch.keep(pivots, "pivots")
+    bucketed = scratch.keep(bucketed.join(pivots, "key").select("key", "pivot", "cls", "n"), "pivoted")
 
     # Full sets of the classes in buckets, by bitmap again so that the other texts aren't shuffled.
-    involved = scratch.keep(bucketed.select("cls").distinct(), "involved")
+    involved = central.select("cls")
     needed = spark.sparkContext.broadcast(_bitmap.build(involved, "cls"))
 
     def full_sets(batches):
@@ -172,21 +179,28 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         one = both.select("a", "b", "common", (F.col("na") + F.col("nb") - F.col("common")).alias("whole"))
         return scratch.keep(one, name)
 
-    star = scratch.keep(bucketed.where("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b")).distinct(), "star")
+    star = scratch.keep(bucketed.where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct(), "star")
     first = verified(star, "star-common")
     link = F.col("common") * 100 >= F.col("whole") * 80
     joined = components(scratch, first.where(link).select("a", "b"), "star")
 
     # Buckets whose classes are not all connected yet.
-    far = first.select(F.col("a").alias("cls"), F.col("b").alias("least"), (1 - F.col("common") / F.col("whole")).alias("far"))
+    far = first.select(F.col("a").alias("cls"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("whole")).alias("far"))
     placed = bucketed.join(joined.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     placed = scratch.keep(placed, "placed")
     open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     open_keys = scratch.keep(open_keys, "open")
-    rest = placed.join(open_keys, "key", "left_semi").where("cls <> least").join(far, ["cls", "least"])
+    rest = placed.join(open_keys, "key", "left_semi").where("cls <> pivot").join(far, ["cls", "pivot"])
     rest = scratch.keep(rest.select("key", "cls", "n", "root", "far", F.floor(F.col("far") * 5).cast("int").alias("bin")), "rest")
-    other = rest.select("key", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.col("far").alias("far2"))
+    asked = scratch.keep(rest.select("cls").distinct(), "asked")
+    alone = sets.join(asked, "cls").select("cls", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("cls").alias("cls"), F.max("cls").alias("most"))
+    alone = scratch.keep(alone.where("cls = most").groupBy("cls").agg(F.count(F.lit(1)).alias("alone")), "alone")
+    rest = rest.join(alone, "cls", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).where("alone * 100 <= n * 20")
+    rest = scratch.keep(rest, "possible")
+    other = rest.select("key", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), *[F.col(c).alias(c + "2") for c in ("cls", "n", "root", "far", "alone")])
     near = (F.col("root") < F.col("root2")) & (F.abs(F.col("far") - F.col("far2")) <= 0.2 + 1e-9) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * 80)
+    most = F.least(F.col("n") - F.col("alone"), F.col("n2") - F.col("alone2"))  # the intersection's size
+    near = near & (most * 100 >= (most + F.col("alone") + F.col("alone2")) * 80)
     more = scratch.keep(rest.join(other, ["key", "bin"]).where(near).select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct(), "more")
     second = verified(more, "more-common")
     edges = joined.select(F.col("v").alias("a"), F.col("root").alias("b")).unionAll(second.where(link).select("a", "b"))
@@ -196,6 +210,6 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     least = final.unionAll(final.select(F.col("root").alias("v"), "root")).groupBy("root").agg(F.min(F.when(F.col("v") >= 0, F.col("v"))).alias("component_id"))
     named = scratch.keep(final.join(least, "root").select(F.col("v").alias("cls"), "component_id"), "named")
     whole = member.select("id", "n", "cls").join(named, "cls", "left").select("id", "n", F.coalesce("component_id", F.when(F.col("cls") >= 0, F.col("cls"))).alias("component_id"))
-    out = whole.unionAll(scratch_empty.select("id", "n", F.col("id").alias("component_id")))
-    scratch.drop("classes", "buckets", "bucketed", "sets", "star", "placed", "rest")
+    out = whole.unionAll(empty.select("id", "n", F.col("id").alias("component_id")))
+    scratch.drop("classes", "buckets", "bucketed", "pivoted", "sets", "star", "placed", "rest", "possible", "alone")
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
