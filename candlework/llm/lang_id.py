@@ -13,7 +13,6 @@ predicts, which has no shuffle. N-grams are counted on arrays for many documents
 from __future__ import annotations
 
 import unicodedata
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +122,44 @@ def profiles(docs: DataFrame, *, text: str = "text", lang: str = "lang", top: in
     return docs.sparkSession.createDataFrame(ranked, "lang string, gram long, rank int")
 
 
+class Matcher:
+    """Compares texts to profiles, which are TOP rows a language at most."""
+
+    def __init__(self, known: DataFrame, top: int):
+        rows = known.collect()
+        self.top = top
+        self.names = sorted({r[0] for r in rows})
+        self.grams = np.array(sorted({r[1] for r in rows}), np.int64)
+        self.ranks = np.full((len(self.names), len(self.grams) + 1), -1, np.int64)
+        for name, gram, rank in rows:
+            self.ranks[self.names.index(name), np.searchsorted(self.grams, gram)] = rank
+
+    def __call__(self, texts: pa.Array):
+        """Low and high row, language number (as many as there are: undetermined) and score, for all ranges of rows."""
+        names, grams, top = self.names, self.grams, self.top
+        for low, high, letters, group in _chunk(texts):
+            n = high - low
+            row, gram, times = counted(letters, group)
+            order = np.argsort(row * (1 << 32) - times, kind="stable")
+            row, gram = row[order], gram[order]
+            first = np.searchsorted(row, np.arange(n))
+            rank = np.arange(len(row)) - first[row]
+            kept = rank < top
+            row, gram, rank = row[kept], gram[kept], rank[kept]
+            length = np.bincount(row, minlength=n)
+            at = np.minimum(np.searchsorted(grams, gram), max(len(grams) - 1, 0))
+            if len(grams):
+                at = np.where(grams[at] == gram, at, len(grams))
+            distance = np.full((len(names) + 1, n), np.inf)
+            for k in range(len(names)):
+                there = self.ranks[k][at]
+                distance[k] = np.bincount(row, weights=np.where(there >= 0, np.abs(there - rank), top), minlength=n)
+            best = distance[:-1].argmin(0) if names else np.zeros(n, np.int64)
+            none = (length == 0) | (not names)
+            score = np.where(none, 0.0, 1 - np.where(none, 0.0, distance[best, np.arange(n)]) / np.maximum(length * top, 1))
+            yield low, high, np.where(none, len(names), best), score
+
+
 def identify(docs: DataFrame, known: DataFrame, *, doc_id: str = "doc_id", text: str = "text", top: int = TOP) -> DataFrame:
     """Per row: doc_id, lang_pred, score.
 
@@ -130,47 +167,30 @@ def identify(docs: DataFrame, known: DataFrame, *, doc_id: str = "doc_id", text:
     one without letters, and every text if no profile is known, is ``und`` with score 0. Of equally near languages the
     first by name is taken. Ids may be null or repeat: every row has its result.
     """
-    rows = known.collect()  # at most top rows a language
-    names = sorted({r[0] for r in rows})
-    grams = np.array(sorted({r[1] for r in rows}), np.int64)
-    ranks = np.full((len(names), len(grams) + 1), -1, np.int64)
-    for name, gram, rank in rows:
-        ranks[names.index(name), np.searchsorted(grams, gram)] = rank
-    values = pa.array([*names, UNDETERMINED])
+    match = Matcher(known, top)
+    values = pa.array([*match.names, UNDETERMINED])
 
     def predict(batches):
         for batch in batches:
-            for low, high, letters, group in _chunk(batch.column(1)):
-                n = high - low
-                row, gram, times = counted(letters, group)
-                order = np.argsort(row * (1 << 32) - times, kind="stable")
-                row, gram = row[order], gram[order]
-                first = np.searchsorted(row, np.arange(n))
-                rank = np.arange(len(row)) - first[row]
-                kept = rank < top
-                row, gram, rank = row[kept], gram[kept], rank[kept]
-                length = np.bincount(row, minlength=n)
-                at = np.minimum(np.searchsorted(grams, gram), max(len(grams) - 1, 0))
-                if len(grams):
-                    at = np.where(grams[at] == gram, at, len(grams))
-                distance = np.full((len(names) + 1, n), np.inf)
-                for k in range(len(names)):
-                    there = ranks[k][at]
-                    distance[k] = np.bincount(row, weights=np.where(there >= 0, np.abs(there - rank), top), minlength=n)
-                best = distance[:-1].argmin(0) if names else np.zeros(n, np.int64)
-                none = (length == 0) | (not names)
-                score = np.where(none, 0.0, 1 - distance[best, np.arange(n)] / np.maximum(length * top, 1))
-                best = np.where(none, len(names), best)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, n), values.take(pa.array(best)), pa.array(np.where(none, 0.0, score))], [doc_id, "lang_pred", "score"])
+            for low, high, best, score in match(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), values.take(pa.array(best)), pa.array(score)], [doc_id, "lang_pred", "score"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(predict, f"`{doc_id}` {kind}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, known: DataFrame, *, text: str = "text", least: float = 0.2, top: int = TOP) -> DataFrame:
+    """The rows, with all their columns, whose text is in a known language: not ``und``, and with a score of least or more."""
+    match = Matcher(known, top)
+
+    def choose(batches):
+        for batch in batches:
+            for low, high, best, score in match(batch.column(batch.schema.get_field_index(text))):
+                yield batch.slice(low, high - low).filter(pa.array((best < len(match.names)) & (score >= least)))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def is_held_out(doc_id: str = "doc_id"):
     """Whether a document is kept from training: crc32 of its id as text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
-
-
-def crc_of(doc_id) -> int:
-    return zlib.crc32(str(doc_id).encode())
