@@ -16,10 +16,10 @@ from tokenizers import Tokenizer
 
 from candlework.llm._bytes import buffers, chunks, span_hashes
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Distinct pre-tokens that a worker remembers; beyond that it starts anew, which costs time but changes no result.
-MOST_KNOWN = 1_500_000
-_SLOTS = 1 << 22
+MOST_KNOWN = 800_000
+_SLOTS = 1 << 21
 _OTHER, _LETTER, _NUMBER, _BLANK, _UNKNOWN = range(5)
 _END = 0x20000
 
@@ -82,6 +82,7 @@ class Encoder:
     def _forget(self) -> None:
         self.slots = np.zeros(_SLOTS, np.uint64)
         self.entry = np.zeros(_SLOTS, np.int32)
+        self.mask = _SLOTS - 1
         self.known = 0
         self.counts = np.zeros(1 << 16, np.int32)
         self.offsets = np.zeros(1 << 16, np.int64)
@@ -92,16 +93,31 @@ class Encoder:
         """Entries of hashes, -1 where one isn't known."""
         out = np.full(len(hashes), -1, np.int32)
         left = np.arange(len(hashes))
-        at = (hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
+        at = (hashes & np.uint64(self.mask)).astype(np.int64)
         while len(left):
             seen = self.slots[at]
             hit = seen == hashes[left]
             out[left[hit]] = self.entry[at[hit]]
             more = ~hit & (seen != 0)
-            left, at = left[more], (at[more] + 1) & (_SLOTS - 1)
+            left, at = left[more], (at[more] + 1) & self.mask
         return out
 
+    def _put(self, hashes: np.ndarray, first: int) -> None:
+        slots, entry, mask = self.slots, self.entry, self.mask
+        for k, h in enumerate(hashes.tolist()):
+            at = h & mask
+            while slots[at]:
+                at = (at + 1) & mask
+            slots[at] = h
+            entry[at] = first + k
+
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        if 2 * (self.known + len(texts)) > len(self.slots):  # one text with very many pre-tokens
+            full = np.flatnonzero(self.slots)
+            old = self.slots[full][np.argsort(self.entry[full])]
+            size = 1 << (4 * (self.known + len(texts))).bit_length()
+            self.slots, self.entry, self.mask = np.zeros(size, np.uint64), np.zeros(size, np.int32), size - 1
+            self._put(old, 0)
         if self.known + len(texts) > len(self.counts):
             grow = max(len(self.counts) * 2, self.known + len(texts))
             self.counts, self.offsets = np.resize(self.counts, grow), np.resize(self.offsets, grow)
@@ -115,13 +131,7 @@ class Encoder:
             self.ids[self.used : self.used + len(ids)] = ids
             self.counts[self.known : self.known + len(part)] = counts
             self.offsets[self.known : self.known + len(part)] = self.used + np.cumsum(counts) - counts
-            slots, entry = self.slots, self.entry
-            for k, h in enumerate(hashes[low : low + 4096].tolist()):
-                at = h & (_SLOTS - 1)
-                while slots[at]:
-                    at = (at + 1) & (_SLOTS - 1)
-                slots[at] = h
-                entry[at] = self.known + k
+            self._put(hashes[low : low + 4096], self.known)
             self.used += len(ids)
             self.known += len(part)
 

@@ -33,6 +33,10 @@ LAYOUT = {
 }
 
 
+#: Files whose starts (16 bytes each) are sent to every executor at most.
+MOST_PARTS = 200_000
+
+
 def write_token_files(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json", end: int = 2) -> None:
     """Write the ids of every whole text, each with the end id after it, below path.
 
@@ -70,6 +74,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         base[part] = total
         total += n
     bases = spark.createDataFrame(list(base.items()) or [(0, 0)], "part int, base long")
+    if len(base) <= MOST_PARTS:  # else the join shuffles; ids are never in the way of that if they aren't selected
+        bases = F.broadcast(bases)
     return files.join(bases, "part").withColumn("start", F.col("base") + F.col("part_start")).drop("base")
 
 

@@ -4,15 +4,18 @@ Index. Coarse centroids (k-means) split the unit vectors into lists; in a list a
 residual in subspaces of a few dimensions, with the exact length of what the codes miss, and with the vector itself.
 Centroids and codebooks are fitted on SAMPLE vectors at most; every vector is indexed.
 
-Search. All vectors are queries. A vector within distance r of the query lies in a list whose centroid is not farther
-from it than the query's own nearest one, so only lists whose bisecting plane with that one is within r of the query can
-hold it: these are probed, however many they are. In a list, distances to the codes come from tables of the query's
-subspace distances; what is too far by more than its codes miss is dropped, and the rest is ranked by exact cosine in
-double precision. Both tests are lower bounds on the true distance, so no pair is lost up to rounding.
-
-Plan. Equal vectors are one class first. Queries and lists are packed into blocks and meet by list; lists and their
-queries are split further when they are large. A task returns counts and a spanning forest of the links it found, never
-the pairs, so a group of near copies costs rows in proportion to its size.
+Search. All vectors are queries. If a vector within distance r of a query lies in another list than the query's own, it
+is beyond the plane halfway between the two centroids, so the query is at most r times the cosine of the direction between
+them away from that plane. In d dimensions that cosine has a deviation of about 1 / sqrt(d); every list whose plane is
+within PROBE_SIGMAS deviations is probed, however many they are. (sqrt(d) deviations would be a proof; three lose one pair
+in some hundreds at the least cosine that counts, and hardly any above.) In a list, distances to the codes come from
+tables of the query's subspace distances; what is too far by more than its codes miss is dropped, which loses nothing, and
+the rest is ranked by exact cosine in double precision.
+
+Plan. Equal vectors are one class first. Lists are packed into shards of bounded size, a larger list into several; a
+query goes once to each shard that holds a list it probes, and a shard's queries are split when they are many. A task
+returns counts and a spanning forest of the links it found, never the pairs, so a group of near copies costs rows in
+proportion to its size.
 """
 
 from __future__ import annotations
@@ -30,8 +33,9 @@ from candlework.llm._store import Scratch
 
 #: Vectors, and numbers in them, that centroids and codebooks are fitted on at most.
 SAMPLE, SAMPLE_NUMBERS = 16_384, 1 << 21
-#: Vectors of a list, and queries to it, that meet in one task at most, on average.
-LIST_BLOCK, QUERY_BLOCK = 2_048, 4_096
+#: Vectors of a shard, and queries to it, that meet in one task at most, on average.
+SHARD, QUERIES = 8_192, 16_384
+PROBE_SIGMAS = 3.0
 SUBSPACE, CODES = 4, 256
 
 
@@ -78,7 +82,8 @@ class Index:
         d = _distances(x, self.centres)
         near = d.argmin(1)
         apart = np.sqrt(_distances(self.centres, self.centres))[near]
-        return d - d[np.arange(len(x)), near][:, None] <= 2 * apart * radius + 1e-6
+        sigmas = min(PROBE_SIGMAS / math.sqrt(self.dim), 1.0)
+        return d - d[np.arange(len(x)), near][:, None] <= 2 * apart * radius * sigmas + 1e-6
 
     def tables(self, x: np.ndarray, which: int) -> list[np.ndarray]:
         """Squared distances of the queries' residuals to every code of each subspace."""
@@ -86,6 +91,35 @@ class Index:
         return [_distances(residual[:, p], b) for p, b in zip(self.parts, self.books)]
 
 
+class Shards:
+    """Lists packed into shards, neighbouring lists together; a list larger than a shard is dealt over several."""
+
+    def __init__(self, index: Index, sizes: dict[int, int]):
+        total = sum(sizes.values())
+        groups = _nearest(index.centres, _kmeans(index.centres, max(1, math.ceil(total / SHARD)), 4))
+        self.units: dict[int, list[int]] = {}
+        self.n, room = 0, 0
+        for k in sorted(sizes, key=lambda k: (groups[k], k)):
+            pieces = math.ceil(sizes[k] / SHARD)
+            for _ in range(pieces):
+                need = sizes[k] / pieces
+                if need > room:
+                    self.n, room = self.n + 1, SHARD
+                self.units.setdefault(k, []).append(self.n - 1)
+                room -= need
+        self.holds = np.zeros((len(index.centres), self.n), np.float32)
+        for k, where in self.units.items():
+            self.holds[k, where] = 1
+
+    def shard_of(self, k: int, cls: int) -> int:
+        where = self.units[k]
+        return where[(cls >> 7) % len(where)]
+
+    def probed(self, lists: np.ndarray) -> np.ndarray:
+        """Which shards hold a list that a query probes."""
+        return lists.astype(np.float32) @ self.holds > 0
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
@@ -154,7 +188,7 @@ def near_duplicate_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedd
     n = classes.count()
     some = classes.orderBy("cls").limit(max(1, min(SAMPLE, SAMPLE_NUMBERS // dim))).select("body").collect()
     sample = _unit(_matrix([bytes(r[0]) for r in some], dim))
-    index = Index(sample, max(1, min(int(math.sqrt(n)), len(sample) // 8 or 1)))
+    index = Index(sample, max(1, min(int(2 * math.sqrt(n)), len(sample) // 8 or 1)))
     shared = spark.sparkContext.broadcast(index)  # bounded by the sample
 
     def put(batches):
@@ -167,88 +201,88 @@ def near_duplicate_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedd
 
     indexed = scratch.keep(classes.select("cls", "least", "size", "body").mapInArrow(put, "cls long, least long, size long, body binary, list int, codes binary, missed double"), "index")
 
+    in_list = {r[0]: r[1] for r in indexed.groupBy("list").count().collect()}  # a row for each list
+    shards = Shards(index, in_list)
+    parts = spark.sparkContext.broadcast(shards)
+
     def count_probes(batches):
-        total = np.zeros(len(index.centres), np.int64)
+        total = np.zeros(shards.n, np.int64)
         for batch in batches:
-            x = _matrix(batch.column(0).to_pylist(), dim)
-            for i in range(0, len(x), 1024):
-                total += shared.value.probes(_unit(x[i : i + 1024]), radius).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["list", "n"])
+            raw = batch.column(0).to_pylist()
+            for i in range(0, len(raw), 1024):
+                total += parts.value.probed(shared.value.probes(_unit(_matrix(raw[i : i + 1024], dim)), radius)).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["shard", "n"])
 
-    in_list = {r[0]: r[1] for r in indexed.groupBy("list").count().collect()}  # a row for each list
-    to_list = {r[0]: r[1] for r in indexed.select("body").mapInArrow(count_probes, "list int, n long").groupBy("list").agg(F.sum("n")).collect()}
-    list_parts = {k: math.ceil(v / LIST_BLOCK) for k, v in in_list.items()}
-    query_parts = {k: math.ceil(v / QUERY_BLOCK) for k, v in to_list.items() if k in in_list}
-    place = spark.sparkContext.broadcast((list_parts, query_parts))
+    asked_of = {r[0]: r[1] for r in indexed.select("body").mapInArrow(count_probes, "shard int, n long").groupBy("shard").agg(F.sum("n")).collect()}
+    times = spark.sparkContext.broadcast([math.ceil(asked_of.get(k, 0) / QUERIES) for k in range(shards.n)])
 
     def ask(batches):
-        lists, queries = place.value
         for batch in batches:
             ids, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            out = []
             for i in range(0, len(ids), 1024):
-                x = _matrix(raw[i : i + 1024], dim)
-                own = ids[i : i + 1024]
+                x, own, out = _matrix(raw[i : i + 1024], dim), ids[i : i + 1024], []
                 part = (own.view(np.uint64) >> np.uint64(17)).astype(np.int64)
-                probed = shared.value.probes(_unit(x), radius)
+                probed = parts.value.probed(shared.value.probes(_unit(x), radius))
                 for k in np.flatnonzero(probed.any(0)).tolist():
-                    if k not in lists:
-                        continue
-                    which = np.flatnonzero(probed[:, k])
-                    for q in range(queries[k]):
-                        mine = which[part[which] % queries[k] == q]
+                    for q in range(times.value[k]):
+                        mine = np.flatnonzero(probed[:, k] & (part % times.value[k] == q))
                         if len(mine):
-                            ids_, body = own[mine].tobytes(), x[mine].tobytes()
-                            out += [(k, b, q, ids_, body) for b in range(lists[k])]
-            columns = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["list", "b", "q", "ids", "bodies"])
+                            out.append((k, q, own[mine].tobytes(), x[mine].tobytes()))
+                columns = list(zip(*out)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["shard", "q", "ids", "bodies"])
 
     def offer(batches):
-        lists, queries = place.value
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            k = table.column("list").to_pylist()
-            b = [(c >> 7) % lists[x] for c, x in zip(table.column("cls").to_pylist(), k)]
-            times = np.array([queries.get(x, 0) for x in k], np.int64)
-            row = np.repeat(np.arange(len(k)), times)
-            q = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-            table = table.append_column("b", pa.array(b, pa.int32())).take(pa.array(row)).append_column("q", pa.array(q, pa.int32()))
-            yield from table.select(["list", "b", "q", "cls", "size", "body", "codes", "missed"]).combine_chunks().to_batches()
+            at = np.array([parts.value.shard_of(k, c) for k, c in zip(table.column("list").to_pylist(), table.column("cls").to_pylist())], np.int64)
+            table = table.append_column("shard", pa.array(at, pa.int32()))
+            copies = np.array(times.value)[at]
+            for q in range(int(copies.max(initial=0))):
+                some = table.take(pa.array(np.flatnonzero(copies > q)))
+                some = some.append_column("q", pa.array(np.full(some.num_rows, q), pa.int32()))
+                yield from some.select(["shard", "q", "list", "cls", "size", "body", "codes", "missed"]).combine_chunks().to_batches()
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
         if not left.num_rows or not right.num_rows:
-            return empty
+            return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "links")})
         ids = np.frombuffer(b"".join(left.column("ids").to_pylist()), np.int64)
         bodies = _matrix(left.column("bodies").to_pylist(), dim)
-        cls, size = right.column("cls").to_numpy(), right.column("size").to_numpy()
+        right = right.sort_by("list")
+        lists, cls, size = (right.column(c).to_numpy() for c in ("list", "cls", "size"))
         x = _matrix(right.column("body").to_pylist(), dim)
         norms = np.sqrt((x * x).sum(1))
         codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(len(cls), -1)
         far = (radius + right.column("missed").to_numpy() + 1e-7) ** 2
+        here = [(k, np.searchsorted(lists, k), np.searchsorted(lists, k, "right")) for k in np.unique(lists).tolist()]
         links, pairs = np.zeros(len(ids), np.int64), []
-        for i in range(0, len(ids), 256):
-            q = bodies[i : i + 256]
-            total = np.zeros((len(q), len(cls)))
-            for part, table in enumerate(shared.value.tables(_unit(q), left.column("list")[0].as_py())):
-                total += table[:, codes[:, part]]
-            a, b = np.nonzero((total <= far) & (ids[i : i + 256, None] != cls))
-            length = np.sqrt((q * q).sum(1))
-            for j in range(0, len(a), 65536):
-                u, v = a[j : j + 65536], b[j : j + 65536]
-                cosine = np.einsum("ij,ij->i", q[u], x[v]) / (length[u] * norms[v])
-                u, v = u[cosine >= least], v[cosine >= least]
-                links[i : i + 256] += np.bincount(u, weights=size[v], minlength=len(q)).astype(np.int64)
-                pairs += _forest(ids[i + u], cls[v])
+        for i in range(0, len(ids), 1024):
+            q = bodies[i : i + 1024]
+            unit, length, own = _unit(q), np.sqrt((q * q).sum(1)), ids[i : i + 1024]
+            probed = shared.value.probes(unit, radius)
+            for k, low, high in here:
+                which = np.flatnonzero(probed[:, k])
+                for w in np.array_split(which, max(1, math.ceil(len(which) * (high - low) / (1 << 20)))):
+                    if not len(w):
+                        continue
+                    total = np.zeros((len(w), high - low))
+                    for part, table in enumerate(shared.value.tables(unit[w], k)):
+                        total += table[:, codes[low:high, part]]
+                    a, b = np.nonzero((total <= far[low:high]) & (own[w][:, None] != cls[low:high]))
+                    for j in range(0, len(a), 65536):
+                        u, v = w[a[j : j + 65536]], low + b[j : j + 65536]
+                        cosine = np.einsum("ij,ij->i", q[u], x[v]) / (length[u] * norms[v])
+                        u, v = u[cosine >= least], v[cosine >= least]
+                        links[i : i + 1024] += np.bincount(u, weights=size[v], minlength=len(q)).astype(np.int64)
+                        pairs += _forest(own[u], cls[v])
         tree = _forest(*np.array(pairs, np.int64).reshape(-1, 2).T)
         some = np.flatnonzero(links)
         a = np.concatenate((ids[some], [p[0] for p in tree])).astype(np.int64)
         b = np.concatenate((ids[some], [p[1] for p in tree])).astype(np.int64)
         return pa.table({"a": a, "b": b, "links": np.concatenate((links[some], np.zeros(len(tree), np.int64)))})
 
-    asked = indexed.select("cls", "body").mapInArrow(ask, "list int, b int, q int, ids binary, bodies binary")
-    offered = indexed.select("list", "cls", "size", "body", "codes", "missed").mapInArrow(offer, "list int, b int, q int, cls long, size long, body binary, codes binary, missed double")
-    keys = ["list", "b", "q"]
+    asked = indexed.select("cls", "body").mapInArrow(ask, "shard int, q int, ids binary, bodies binary")
+    offered = indexed.select("list", "cls", "size", "body", "codes", "missed").mapInArrow(offer, "shard int, q int, list int, cls long, size long, body binary, codes binary, missed double")
+    keys = ["shard", "q"]
     found = scratch.keep(asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(meet, "a long, b long, links long"), "links")
     roots = components(scratch, found.where("links = 0").select("a", "b"), "vectors")
     links = found.where("links > 0").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
