@@ -15,13 +15,16 @@ links found make components. Then, in buckets that still hold several components
 compared to each other, but for pairs that two bounds rule out. Since 1 - similarity is a metric, a class at distance x
 from the pivot can only be linked to one at distance y if x and y differ by at most 0.2, so pairs are made inside and
 between neighbouring distance bins. And shingles that no other class still in question has, u of n in one and v of m in
-the other, lie outside the intersection, so it is min(n - u, m - v) at most and the union larger by u + v at least. No
-pair that shares a band and can be linked is left out unless its ends are connected already, and a group of copies costs
-in proportion to its size, not its square.
+the other, lie outside the intersection, so it is min(n - u, m - v) at most and the union larger by u + v at least. A
+last test compares four bits of every coordinate: a pair whose bits differ more than SIGMAS deviations beyond what the
+least similarity makes them differ is left out; a pair at that similarity is lost so with probability 3e-5. So pairs that
+become rows are those that are connected already by no link and are likely to be links.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +37,8 @@ from candlework.llm._store import Scratch
 
 BANDS, ROWS = 42, 6
 T = BANDS * ROWS
+#: Bits of a coordinate in the last test before verification, and its margin.
+BITS, SIGMAS = 4, 4.0
 
 
 def _sets(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +98,13 @@ def _bands(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _bits(sketch: np.ndarray) -> np.ndarray:
+    """BITS bits of each coordinate, packed into longs."""
+    low = (mix(sketch)[:, :, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)
+    packed = np.packbits(low.astype(np.uint8).reshape(len(sketch), -1), axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.int64)
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept.
 
@@ -115,17 +127,19 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
                 for seed in (1, 2):  # 128 bits that tell a set
                     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(seed)))))
                     sums.append(pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)))
-                keys = _bands(sketches(h, bounds, t), bands, rows)
+                made = sketches(h, bounds, t)
+                keys, bits = _bands(made, bands, rows), _bits(made)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, bits.shape[1], dtype=np.int32)), pa.array(bits.reshape(-1)))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(bounds)), *sums, lists], ["id", "n", "s1", "s2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(bounds)), *sums, lists, bits], ["id", "n", "s1", "s2", "bands", "bits"])
 
     plain = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
-    every = scratch.keep(plain.mapInArrow(sketch, "id long, n long, s1 long, s2 long, bands array<long>"), "sketches")
+    every = scratch.keep(plain.mapInArrow(sketch, "id long, n long, s1 long, s2 long, bands array<long>, bits array<long>"), "sketches")
 
     # Classes of equal sets. A class is known by its smallest id; -1 - s1 stands in where it has none.
     ids = every.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id"))
     classes = scratch.keep(ids.select("s1", "s2", F.coalesce("id", F.lit(-1) - F.abs(F.col("s1").bitwiseAND((1 << 62) - 1))).alias("cls")), "classes")
-    member = scratch.keep(every.where("n > 0").join(classes, ["s1", "s2"]).select("id", "n", "cls", F.when(F.col("id").isNull() | (F.col("id") == F.col("cls")), F.col("bands")).alias("bands")), "members")
+    member = scratch.keep(every.where("n > 0").join(classes, ["s1", "s2"]).select("id", "n", "cls", *[F.when(F.col("id").isNull() | (F.col("id") == F.col("cls")), F.col(c)).alias(c) for c in ("bands", "bits")]), "members")
     empty = every.where("n = 0").select("id", "n")
 
     # Buckets with several classes, and the rows in them.
@@ -195,12 +209,16 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     asked = scratch.keep(rest.select("cls").distinct(), "asked")
     alone = sets.join(asked, "cls").select("cls", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("cls").alias("cls"), F.max("cls").alias("most"))
     alone = scratch.keep(alone.where("cls = most").groupBy("cls").agg(F.count(F.lit(1)).alias("alone")), "alone")
-    rest = rest.join(alone, "cls", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).where("alone * 100 <= n * 20")
+    bits = member.where("bits is not null").join(asked, "cls", "left_semi").select("cls", "bits").dropDuplicates(["cls"])
+    rest = rest.join(scratch.keep(bits, "bits"), "cls").join(alone, "cls", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).where("alone * 100 <= n * 20")
     rest = scratch.keep(rest, "possible")
-    other = rest.select("key", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), *[F.col(c).alias(c + "2") for c in ("cls", "n", "root", "far", "alone")])
+    other = rest.select("key", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), *[F.col(c).alias(c + "2") for c in ("cls", "n", "root", "far", "alone", "bits")])
     near = (F.col("root") < F.col("root2")) & (F.abs(F.col("far") - F.col("far2")) <= 0.2 + 1e-9) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * 80)
     most = F.least(F.col("n") - F.col("alone"), F.col("n2") - F.col("alone2"))  # the intersection's size
     near = near & (most * 100 >= (most + F.col("alone") + F.col("alone2")) * 80)
+    differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(-(-t * BITS // 64))), F.lit(0))
+    # Of t coordinates a fifth differ at similarity 0.8, and half of the bits of those that do.
+    near = near & (differ <= 0.2 * t * BITS / 2 + SIGMAS * math.sqrt(0.16 * t * (BITS / 2) ** 2 + 0.2 * t * BITS / 4))
     more = scratch.keep(rest.join(other, ["key", "bin"]).where(near).select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct(), "more")
     second = verified(more, "more-common")
     edges = joined.select(F.col("v").alias("a"), F.col("root").alias("b")).unionAll(second.where(link).select("a", "b"))
@@ -211,5 +229,5 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     named = scratch.keep(final.join(least, "root").select(F.col("v").alias("cls"), "component_id"), "named")
     whole = member.select("id", "n", "cls").join(named, "cls", "left").select("id", "n", F.coalesce("component_id", F.when(F.col("cls") >= 0, F.col("cls"))).alias("component_id"))
     out = whole.unionAll(empty.select("id", "n", F.col("id").alias("component_id")))
-    scratch.drop("classes", "buckets", "bucketed", "pivoted", "sets", "star", "placed", "rest", "possible", "alone")
+    scratch.drop("classes", "buckets", "bucketed", "pivoted", "sets", "star", "placed", "rest", "possible", "alone", "bits")
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
