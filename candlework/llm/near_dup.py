@@ -212,13 +212,17 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     bits = member.where("bits is not null").join(asked, "cls", "left_semi").select("cls", "bits").dropDuplicates(["cls"])
     rest = rest.join(scratch.keep(bits, "bits"), "cls").join(alone, "cls", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).where("alone * 100 <= n * 20")
     rest = scratch.keep(rest, "possible")
-    other = rest.select("key", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), *[F.col(c).alias(c + "2") for c in ("cls", "n", "root", "far", "alone", "bits")])
+    # A pair is made in the first bucket that both are in, not once in each.
+    keys = scratch.keep(rest.groupBy("cls").agg(F.collect_set("key").alias("keys")), "keys")  # at most a key for each band
+    rest = scratch.keep(rest.join(keys, "cls"), "keyed")
+    other = rest.select("key", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), *[F.col(c).alias(c + "2") for c in ("cls", "n", "root", "far", "alone", "bits", "keys")])
     near = (F.col("root") < F.col("root2")) & (F.abs(F.col("far") - F.col("far2")) <= 0.2 + 1e-9) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * 80)
     most = F.least(F.col("n") - F.col("alone"), F.col("n2") - F.col("alone2"))  # the intersection's size
     near = near & (most * 100 >= (most + F.col("alone") + F.col("alone2")) * 80)
     differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(-(-t * BITS // 64))), F.lit(0))
     # Of t coordinates a fifth differ at similarity 0.8, and half of the bits of those that do.
     near = near & (differ <= 0.2 * t * BITS / 2 + SIGMAS * math.sqrt(0.16 * t * (BITS / 2) ** 2 + 0.2 * t * BITS / 4))
+    near = near & (F.array_min(F.array_intersect("keys", "keys2")) == F.col("key"))
     more = scratch.keep(rest.join(other, ["key", "bin"]).where(near).select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct(), "more")
     second = verified(more, "more-common")
     edges = joined.select(F.col("v").alias("a"), F.col("root").alias("b")).unionAll(second.where(link).select("a", "b"))
@@ -229,5 +233,5 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     named = scratch.keep(final.join(least, "root").select(F.col("v").alias("cls"), "component_id"), "named")
     whole = member.select("id", "n", "cls").join(named, "cls", "left").select("id", "n", F.coalesce("component_id", F.when(F.col("cls") >= 0, F.col("cls"))).alias("component_id"))
     out = whole.unionAll(empty.select("id", "n", F.col("id").alias("component_id")))
-    scratch.drop("classes", "buckets", "bucketed", "pivoted", "sets", "star", "placed", "rest", "possible", "alone", "bits")
+    scratch.drop("classes", "buckets", "bucketed", "pivoted", "sets", "star", "placed", "rest", "possible", "alone", "bits", "keys", "keyed")
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
