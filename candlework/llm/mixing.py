@@ -4,8 +4,8 @@ Words are summed for each source; targets follow from weights; a source's repeti
 document is emitted floor(rate) times, and once more if a hash of its id, seeded and uniform on [0, 1), is below the
 rest. So the result doesn't depend on partitions or reruns, and no row needs to see another.
 
-Plan: one narrow table (id, source, size) from one pass over the texts, one aggregation by source (partial sums inside
-tasks, so a hot source is one row a task), and a join with the sources' rates, which are one row a source.
+Plan: one aggregation by source (partial sums inside tasks, so a hot source is one row a task), gathered on the driver,
+and, reading the texts a second time, a join with the sources' rates, which are one row a source.
 """
 
 from __future__ import annotations
