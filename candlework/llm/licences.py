@@ -84,6 +84,6 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", licence
     words = _telling(list(notices.values()))
     likely = F.split(t, "\n") if words is None else F.filter(F.split(t, "\n"), lambda x: F.translate(x, _UPPER, _LOWER).rlike("|".join(words) or "(?!)"))
     found = F.array_sort(F.array_distinct(F.filter(F.transform(likely, lambda x: F.try_element_at(by_line, digest(x))), lambda x: x.isNotNull())))
-    one = docs.select(F.col(doc_id), F.when(F.length(canonical(t)) > 0, digest(t)).alias("text_digest"), F.coalesce(found, F.array().cast("array<string>")).alias("notice_ids"))
+    one = docs.select(F.col(doc_id), F.nullif(digest(t), F.sha2(F.lit(""), 256)).alias("text_digest"), F.coalesce(found, F.array().cast("array<string>")).alias("notice_ids"))
     out = one.join(F.broadcast(known(spark, licences)), F.col("text_digest") == F.col("licence_digest"), "left")
     return out.select(doc_id, "text_digest", "licence_id", F.array_join("notice_ids", ",").alias("notice_ids"), F.size("notice_ids").cast("long").alias("n_notices"))
