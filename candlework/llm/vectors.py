@@ -5,11 +5,10 @@ residual in subspaces of a few dimensions, with the exact length of what the cod
 Centroids and codebooks are fitted on SAMPLE vectors at most; every vector is indexed.
 
 Search. All vectors are queries. If a vector within distance r of a query lies in another list than the query's own, it
-is beyond the plane halfway between the two centroids, so the query is at most r times the cosine of the direction between
-them away from that plane. In d dimensions that cosine has a deviation of about 1 / sqrt(d); every list whose plane is
-within PROBE_SIGMAS deviations is probed, however many they are. (sqrt(d) deviations would be a proof; three lose one pair
-in some hundreds at the least cosine that counts, and hardly any above.) In a list, distances to the codes come from
-tables of the query's subspace distances; what is too far by more than its codes miss is dropped, which loses nothing, and
+is beyond the plane halfway between the two centroids, so the query is at most r away from that plane; every list whose
+plane is within r is probed, however many they are, which loses nothing whatever way the vectors are spread. Where they
+are spread alike in all of many directions, that is nearly every list. In a list, distances to the codes are one matrix
+product with what the codes stand for; what is too far by more than its codes miss is dropped, which loses nothing, and
 the rest is ranked by exact cosine in double precision.
 
 Plan. Equal vectors are one class first. Lists are packed into shards of bounded size, a larger list into several; a
@@ -35,7 +34,6 @@ from candlework.llm._store import Scratch
 SAMPLE, SAMPLE_NUMBERS = 16_384, 1 << 21
 #: Vectors of a shard, and queries to it, that meet in one task at most, on average.
 SHARD, QUERIES = 8_192, 16_384
-PROBE_SIGMAS = 3.0
 SUBSPACE, CODES = 4, 256
 
 
@@ -82,13 +80,11 @@ class Index:
         d = _distances(x, self.centres)
         near = d.argmin(1)
         apart = np.sqrt(_distances(self.centres, self.centres))[near]
-        sigmas = min(PROBE_SIGMAS / math.sqrt(self.dim), 1.0)
-        return d - d[np.arange(len(x)), near][:, None] <= 2 * apart * radius * sigmas + 1e-6
+        return d - d[np.arange(len(x)), near][:, None] <= 2 * apart * radius + 1e-6
 
-    def tables(self, x: np.ndarray, which: int) -> list[np.ndarray]:
-        """Squared distances of the queries' residuals to every code of each subspace."""
-        residual = x - self.centres[which]
-        return [_distances(residual[:, p], b) for p, b in zip(self.parts, self.books)]
+    def decoded(self, near: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What lists and codes stand for."""
+        return self.centres[near] + np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], 1)
 
 
 class Shards:
@@ -252,7 +248,9 @@ def near_duplicate_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedd
         x = _matrix(right.column("body").to_pylist(), dim)
         norms = np.sqrt((x * x).sum(1))
         codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(len(cls), -1)
-        far = (radius + right.column("missed").to_numpy() + 1e-7) ** 2
+        coded = shared.value.decoded(lists, codes)
+        # The squared distance to a code is 1 + |code|^2 - 2 query.code, so a product under this is too far.
+        under = (1 + (coded * coded).sum(1) - (radius + right.column("missed").to_numpy() + 1e-7) ** 2) / 2 - 1e-9
         here = [(k, np.searchsorted(lists, k), np.searchsorted(lists, k, "right")) for k in np.unique(lists).tolist()]
         links, pairs = np.zeros(len(ids), np.int64), []
         for i in range(0, len(ids), 1024):
@@ -264,10 +262,9 @@ def near_duplicate_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedd
                 for w in np.array_split(which, max(1, math.ceil(len(which) * (high - low) / (1 << 20)))):
                     if not len(w):
                         continue
-                    total = np.zeros((len(w), high - low))
-                    for part, table in enumerate(shared.value.tables(unit[w], k)):
-                        total += table[:, codes[low:high, part]]
-                    a, b = np.nonzero((total <= far[low:high]) & (own[w][:, None] != cls[low:high]))
+                    a, b = np.nonzero(unit[w] @ coded[low:high].T >= under[low:high])
+                    other = own[w[a]] != cls[low + b]
+                    a, b = a[other], b[other]
                     for j in range(0, len(a), 65536):
                         u, v = w[a[j : j + 65536]], low + b[j : j + 65536]
                         cosine = np.einsum("ij,ij->i", q[u], x[v]) / (length[u] * norms[v])

@@ -217,6 +217,18 @@ def test_vectors(spark):
     assert links.max() > 20 and all(r.kept == (i == r.component_id) for i, r in found.items())
 
 
+@pytest.mark.parametrize("rank", [6, None])
+def test_vectors_that_are_spread_in_few_directions(spark, rank):
+    """Of low rank, or with a spectrum that decays: every link is found."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, rank)) @ rng.normal(size=(rank, 64)) if rank else rng.normal(size=(1500, 256)) / np.arange(1, 257)
+    found = rows_of(near_duplicate_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")), "vec_id")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    a, b = np.nonzero(np.triu(u @ u.T >= 0.9, 1))
+    root, links = brute.components(range(len(x)), zip(a.tolist(), b.tolist())), np.bincount(np.append(a, b), minlength=len(x))
+    assert len(a) > 1000 and {i: (r.n_links, r.component_id) for i, r in found.items()} == {i: (links[i], root[i]) for i in range(len(x))}
+
+
 def test_vectors_of_nulls_and_nothing(spark):
     kind = "vec_id long, embedding array<float>"
     assert near_duplicate_vectors(spark.createDataFrame([], kind)).count() == 0
