@@ -136,10 +136,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     plain = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     every = scratch.keep(plain.mapInArrow(sketch, "id long, n long, s1 long, s2 long, bands array<long>, bits array<long>"), "sketches")
 
-    # Classes of equal sets. A class is known by its smallest id; -1 - s1 stands in where it has none.
-    ids = every.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id"))
-    classes = scratch.keep(ids.select("s1", "s2", F.coalesce("id", F.lit(-1) - F.abs(F.col("s1").bitwiseAND((1 << 62) - 1))).alias("cls")), "classes")
-    member = scratch.keep(every.where("n > 0").join(classes, ["s1", "s2"]).select("id", "n", "cls", *[F.when(F.col("id").isNull() | (F.col("id") == F.col("cls")), F.col(c)).alias(c) for c in ("bands", "bits")]), "members")
+    # Classes of equal sets. A class is known by its smallest id, own; a number made of s1 stands in where that is null.
+    ids = every.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("own"))
+    classes = scratch.keep(ids.select("s1", "s2", "own", F.coalesce("own", F.lit(-1) - F.abs(F.col("s1").bitwiseAND((1 << 62) - 1))).alias("cls")), "classes")
+    member = scratch.keep(every.where("n > 0").join(classes, ["s1", "s2"]).select("id", "n", "cls", "own", *[F.when(F.col("id").isNull() | (F.col("id") == F.col("cls")), F.col(c)).alias(c) for c in ("bands", "bits")]), "members")
     empty = every.where("n = 0").select("id", "n")
 
     # Buckets with several classes, and the rows in them.
@@ -172,8 +172,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     def full_sets(batches):
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            batch = batch.take(pa.array(np.flatnonzero(_bitmap.shows(needed.value, ids) | (ids < 0))))
+            ids, none = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False), batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            batch = batch.take(pa.array(np.flatnonzero(_bitmap.shows(needed.value, ids) | none)))
             data, offsets = buffers(batch.column(1))
             for low, high in chunks(offsets):
                 h, bounds = _sets(Words(data, offsets, low, high, BLANK_SEPARATED), shingle)
@@ -228,10 +228,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     edges = joined.select(F.col("v").alias("a"), F.col("root").alias("b")).unionAll(second.where(link).select("a", "b"))
     final = components(scratch, edges, "all") if not second.where(link).isEmpty() else joined
 
-    # The smallest id of each component; a class that stands in for null ids is none.
-    least = final.unionAll(final.select(F.col("root").alias("v"), "root")).groupBy("root").agg(F.min(F.when(F.col("v") >= 0, F.col("v"))).alias("component_id"))
+    # The smallest id of each component, whose root is one of its v; a class that stands in for null ids is none.
+    least = final.join(classes.select(F.col("cls").alias("v"), "own"), "v").groupBy("root").agg(F.min("own").alias("component_id"))
     named = scratch.keep(final.join(least, "root").select(F.col("v").alias("cls"), "component_id"), "named")
-    whole = member.select("id", "n", "cls").join(named, "cls", "left").select("id", "n", F.coalesce("component_id", F.when(F.col("cls") >= 0, F.col("cls"))).alias("component_id"))
+    whole = member.select("id", "n", "cls", "own").join(named, "cls", "left").select("id", "n", F.coalesce("component_id", "own").alias("component_id"))
     out = whole.unionAll(empty.select("id", "n", F.col("id").alias("component_id")))
     scratch.drop("classes", "buckets", "bucketed", "pivoted", "sets", "star", "placed", "rest", "possible", "alone", "bits", "keys", "keyed")
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

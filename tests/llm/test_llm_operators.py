@@ -153,6 +153,17 @@ def test_near_duplicates_with_null_ids(spark):
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in found) == [("3", "3", True), ("None", "3", False), ("None", "3", False), ("None", "None", False)]
 
 
+def test_near_duplicates_with_negative_ids(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(-7, "a b c d e f"), (-5, "one two three four five"), (-4, "one two three four five"), (-9, long), (8, long + " x"), (-6, long + " y"), (3, "q r s t u v"), (-2, "q r s t u v"), (None, "q r s t u v"), (None, "k l m n o p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near_duplicates(docs).collect())
+    want = [(-7, -7), (-5, -5), (-4, -5), (-9, -9), (8, -9), (-6, -9), (3, -2), (-2, -2), (None, -2), (None, None)]
+    assert found == sorted((str(i), str(c), i is not None and i == c) for i, c in want)
+    left = corpus_pipeline.near_dedup(spark, docs.where("doc_id is not null"), str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == [-9, -7, -5, -2]
+
+
 def test_language_model(docs, texts):
     held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
     found = rows_of(lm.score(docs, held_out=held), "doc_id")
