@@ -145,8 +145,8 @@ def feature_stats(spark, sf_dir):
 
 
 def feature_importance(spark, sf_dir):
-    columns = ["volume_ratio_5d", "volume_ma_20", "money_flow"]
-    return features.importance(features.volume(B.bars_deep(spark, sf_dir)), columns).select("feature", *_r("importance"), "category")
+    rows = features.features(B.bars_deep(spark, sf_dir))
+    return features.importance(rows, [c for c in rows.columns if c not in (KEY, TIME)]).select("feature", *_r("importance"), "category")
 
 
 def split_chrono(spark, sf_dir):
@@ -192,12 +192,12 @@ def breakout_points(spark, sf_dir):
 
 
 def model_detect(spark, sf_dir):
-    rows = labels.dataset(B.bars_deep(spark, sf_dir), stride=20)
-    return model.detect(model.train(rows, rounds=10), rows, least=0.5)
+    rows = labels.dataset(B.bars_deep(spark, sf_dir))
+    return model.detect(model.train(rows), rows, least=0.5)
 
 
 def augment(spark, sf_dir):
-    rows = labels.dataset(B.bars_deep(spark, sf_dir), stride=20).select(KEY, "date", "pattern_id", "w_c")
+    rows = labels.dataset(B.bars_deep(spark, sf_dir)).select(KEY, "date", "pattern_id", "w_c")
     return labels.augment(rows, "w_c").select(KEY, "date", "variant", F.size("w_c").alias("n"))
 
 

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from candlework.operators import features, indicators, labels, prepare, screen
+from candlework.operators import features, indicators, labels, model, prepare, screen
+from candlework.plans import queries as plans
 from candlework.plans.settings import DataSettings, ModelSettings, ScreenSettings, Settings
 from candlework.sources import bars as B
 from candlework.sources import cache
@@ -106,6 +107,20 @@ def test_labels_and_backtest(bars):
     assert {r[0] for r in variants.select(F.size("w_c")).distinct().collect()} == {60}
 
 
+def test_model_and_augment_queries_take_all_windows(spark, monkeypatch):
+    folder, taken, train = "/root/testdata/sf0.001", {}, model.train
+    monkeypatch.setattr(model, "train", lambda rows, **options: taken.update(options, n=rows.count()) or train(rows, **options))
+    n = labels.dataset(B.bars_deep(spark, folder)).count()
+    assert plans.model_detect(spark, folder).columns == ["ticker", "date", "pattern_id", "confidence"] and taken == {"n": n}
+    assert plans.augment(spark, folder).where("variant = 'original'").count() == n > 0
+
+
+def test_importance_query_ranks_all_features(spark, bars):
+    found = plans.feature_importance(spark, "/root/testdata/sf0.001").toPandas()
+    assert sorted(found.feature) == sorted(set(features.features(bars).columns) - {"ticker", "ts"})
+    assert found.importance.dropna().between(0, 1).all() and found.importance.notna().sum() > 150
+
+
 def test_universe_from_html(spark):
     page = "<table class='wikitable sortable'><tr><th>S</th></tr><tr><td>X</td></tr></table><table id='constituents'><tr><th>Symbol</th></tr><tr><td><a>BRK.B</a>\n</td><td>b</td></tr><tr><td> MMM </td></tr></table>"
     got = B.universe_from_html(spark.createDataFrame([(page,)], "html string")).orderBy("pos").collect()
