@@ -1,6 +1,6 @@
 """Licence scans by canonical digest.
 
-A text is brought to canonical form (letter case, copyright lines, equivalent spellings, punctuation and white space) and
+A text is brought to canonical form (letter case, title, copyright and rights lines, equivalent spellings, punctuation and white space) and
 digested; the digest of the whole text is joined to the digests of known licences. The same is done with each of its
 lines against known one-line notices. All of it is SQL functions on the row: no shuffle. The known digests are a fixed
 table of this module or of the caller, whose size is checked before it is sent to the executors.
@@ -26,6 +26,14 @@ SPELLINGS = {
     "optimise": "optimize", "organisation": "organization", "organise": "organize", "per cent": "percent", "practise": "practice", "programme": "program", "realise": "realize", "recognise": "recognize",
     "signalling": "signaling", "sub license": "sublicense", "sub licence": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful": "willful", "http": "https",
 }
+_MARK = r"[ \t\r#*=/;>-]*+"
+#: Lines that a licence's header may have: a title, a copyright statement, the rights line.
+_TITLE = r"(?:the )?(?:mit|isc|expat|(?:simplified |revised |modified |new |zero[- ]clause |[23][- ]clause )*bsd(?:[- ](?:zero|[023])(?:[- ]clause)?)?)(?: no attribution)?(?: \"[a-z]+\"(?: or \"[a-z]+\")*)? licen[cs]e(?: \([a-z0-9 -]+\))?[.:]?"
+_HOLDER = r"(?:copyright(?![ \t]+(?:notice|holder|owner|licen|law|and|or|the|in|on|is|of)s?\b)\b|\(c\)|©)[^\n]*"
+_RIGHTS = r"all rights reserved\.?"
+_HEADER = rf"\A(?:\s*+{_MARK}(?:{_TITLE}|{_HOLDER}|{_RIGHTS}){_MARK}(?=\n|\z)){{1,200}}(?=[\x00-\x2F\x3A-\x60\x7B-\x7F]*+[^\x00-\x2F\x3A-\x60\x7B-\x7F])"
+#: A copyright statement or the rights line anywhere; a wrapped line that only begins with the word is none.
+_STATEMENT = rf"(^|\n){_MARK}(?:(?:copyright[ \t:,]*(?:\(c\)|©|[0-9]{{4}}|[<\[{{{{]?(?:year|yyyy)\b)|\(c\)[ \t]*[0-9]{{4}}|©)[^\n]*|{_RIGHTS}{_MARK}(?=\n|\z))"
 #: Largest table of known digests that is sent to every executor.
 MOST_KNOWN = 10_000
 
@@ -37,7 +45,8 @@ def spaced(words: str) -> str:
 def canonical(text: Column) -> Column:
     """Canonical form of a text; equal forms are equal licences."""
     t = F.translate(text, _UPPER, _LOWER)
-    t = F.regexp_replace(t, r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*", "\n")
+    t = F.regexp_replace(t, F.lit(_HEADER), F.lit("\n"))
+    t = F.regexp_replace(t, F.lit(_STATEMENT), F.lit("\n"))
     t = F.regexp_replace(t, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+|[‐-―‘-‟©®]+", " ")
     t = F.concat(F.lit(" "), F.replace(F.trim(t), F.lit(" "), F.lit("  ")), F.lit(" "))  # each word with its own blanks
     t = reduce(lambda x, pair: F.replace(x, F.lit(spaced(pair[0])), F.lit(spaced(pair[1]))), SPELLINGS.items(), t)

@@ -1,6 +1,7 @@
 """The ten training-data operators and the pipeline against brute force, with nulls, empty tables, repeats and long texts."""
 
 import random
+import textwrap
 import zlib
 from pathlib import Path
 
@@ -126,6 +127,23 @@ def test_licences(spark):
     assert [spelled[k].licence_id for k in (1, 2)] == ["L", "L"]
 
 
+def test_licence_files_with_headers_and_wraps(spark):
+    heads = ["", "Copyright (c) 2020 X\n\n", "{} License\n\nCopyright 2020 X\nAll rights reserved.\n\n", "The {} License ({})\r\n\r\nCopyright Jane Doe <j@x.y>\r\n\r\n"]
+    titles = {"0BSD": "BSD Zero Clause", "BSD-2-Clause": "BSD 2-Clause", "BSD-3-Clause": 'BSD 3-Clause "New" or "Revised"', "ISC": "ISC", "MIT": "MIT", "MIT-0": "MIT No Attribution"}
+    rows, want = [], {}
+    for name, title in titles.items():
+        for width in range(60, 101):
+            body = "\n\n".join(textwrap.fill(p, width) for p in LICENCES[name].split("\n\n"))
+            for head in heads if width % 10 == 0 else heads[1:2]:
+                head = head if title == name or "({})" not in head else heads[2]
+                want[len(rows)] = name
+                rows.append((len(rows), head.format(title, title) + body))
+    rows += [(-1, "MIT License"), (-2, "Copyright notice: the sun"), (-3, "notice: the sun")]
+    found = rows_of(licences.scan(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id")
+    assert {k: found[k].licence_id for k in want} == want
+    assert found[-1].text_digest is not None and found[-2].text_digest != found[-3].text_digest
+
+
 @pytest.mark.parametrize("k", [4, 5])
 def test_near_duplicates(docs, texts, k):
     found = rows_of(near_duplicates(docs, shingle=k), "doc_id")
