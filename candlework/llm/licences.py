@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlework.llm.licence_texts import LICENCES, NOTICES
+from candlework.llm.licence_texts import LICENCES, LONG_LICENCES, MORE_NOTICES, NOTICES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Equivalent spellings, each side a word or words in canonical form.
@@ -57,9 +57,9 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known(spark, texts: dict[str, str]) -> DataFrame:
-    """(licence_id, licence_digest) of texts by id; of texts alike in canonical form, the first id."""
-    rows = spark.createDataFrame(list(texts.items()), "licence_id string, t string")
+def known(spark, texts: list[tuple[str, str]]) -> DataFrame:
+    """(licence_id, licence_digest) of (id, text); of texts alike in canonical form, the first id."""
+    rows = spark.createDataFrame(texts, "licence_id string, t string")
     return rows.groupBy(digest(F.col("t")).alias("licence_digest")).agg(F.min("licence_id").alias("licence_id"))
 
 
@@ -82,7 +82,8 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", licence
     repeat: every row has its result.
     """
     spark = docs.sparkSession
-    licences, notices = LICENCES if licences is None else licences, NOTICES if notices is None else notices
+    licences = [*LICENCES.items(), *LONG_LICENCES.items()] if licences is None else list(licences.items())
+    notices = [*NOTICES.items(), *MORE_NOTICES] if notices is None else list(notices.items())
     for table in (licences, notices):
         if len(table) > MOST_KNOWN:
             raise ValueError(f"at most {MOST_KNOWN} known texts can be sent to every executor")
@@ -90,7 +91,7 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", licence
     by_line = F.create_map(*[F.lit(x) for pair in lines.items() for x in pair]) if lines else F.create_map().cast("map<string,string>")
     t = F.col(text).cast("string")
     # A line without one of the notices' telling words can't be one: only the others are brought to canonical form.
-    words = _telling(list(notices.values()))
+    words = _telling([text for _, text in notices])
     likely = F.split(t, "\n") if words is None else F.filter(F.split(t, "\n"), lambda x: F.translate(x, _UPPER, _LOWER).rlike("|".join(words) or "(?!)"))
     found = F.array_sort(F.array_distinct(F.filter(F.transform(likely, lambda x: F.try_element_at(by_line, digest(x))), lambda x: x.isNotNull())))
     one = docs.select(F.col(doc_id), F.nullif(digest(t), F.sha2(F.lit(""), 256)).alias("text_digest"), F.coalesce(found, F.array().cast("array<string>")).alias("notice_ids"))

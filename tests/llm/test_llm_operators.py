@@ -144,6 +144,16 @@ def test_licence_files_with_headers_and_wraps(spark):
     assert found[-1].text_digest is not None and found[-2].text_digest != found[-3].text_digest
 
 
+def test_long_licences_and_other_notices(spark):
+    files = {p.stem: p.read_text() for p in (Path(licences.__file__).parent / "licence_files").glob("*.txt")}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(files)
+    rows = [(name, "\n\n".join(p if "copyright (c)" in p.lower() or "Copyright [" in p else textwrap.fill(p, 66) for p in text.split("\n\n"))) for name, text in files.items()] + list(files.items())
+    rows += [("notices", "Licensed under the MIT License.\nDistributed under GNU GPL v3\nReleased under the GPLv2\nThis project is licensed under the Apache License 2.0.\nunder the sun")]
+    found = licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [r.doc_id for r in found if r.licence_id != (None if r.doc_id == "notices" else r.doc_id)] == []
+    assert [r.notice_ids for r in found if r.doc_id == "notices"] == ["Apache-2.0,GPL-2.0,GPL-3.0,MIT"]
+
+
 @pytest.mark.parametrize("k", [4, 5])
 def test_near_duplicates(docs, texts, k):
     found = rows_of(near_duplicates(docs, shingle=k), "doc_id")
