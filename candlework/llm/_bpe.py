@@ -8,7 +8,9 @@ characters outside the class table, or with a special token's string, go through
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -16,14 +18,15 @@ from tokenizers import Tokenizer
 
 from candlework.llm._bytes import buffers, chunks, span_hashes
 
-CHUNK_BYTES = 1 << 20
-#: Distinct pre-tokens that a worker remembers; beyond that it starts anew, which costs time but changes no result.
-MOST_KNOWN = 800_000
-_SLOTS = 1 << 21
+CHUNK_BYTES = 1 << 18
+#: Distinct pre-tokens that a task remembers, some 20 MB; beyond that it starts anew, which costs time but changes no result.
+MOST_KNOWN = 300_000
+_SLOTS = 1 << 20
 _OTHER, _LETTER, _NUMBER, _BLANK, _UNKNOWN = range(5)
 _END = 0x20000
 
 
+@lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
     out = np.full(_END + 1, _OTHER, np.uint8)
     for c in range(_END):
@@ -71,10 +74,10 @@ def pretoken_starts(points: np.ndarray, kinds: np.ndarray, begun: np.ndarray) ->
 
 
 class Encoder:
-    """Encodes columns of texts by one tokenizer file."""
+    """Encodes columns of texts by one tokenizer."""
 
-    def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
+    def __init__(self, library: Tokenizer):
+        self.library = library
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.kinds = _classes()
         self._forget()
@@ -194,14 +197,22 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_libraries: dict[str, Tokenizer] = {}
 
 
 def encoder(name: str) -> Encoder:
-    """This worker's encoder for a public tokenizer or a path to a tokenizers file."""
-    if name not in _encoders:
-        _encoders[name] = Encoder(name if "/" in name else public_tokenizers.path(name))
-    return _encoders[name]
+    """A task's encoder for a public tokenizer or a path to a tokenizers file; a worker keeps the file, not what tasks learn.
+
+    The file must be byte-level BPE by the published pattern, without a normalizer.
+    """
+    if name not in _libraries:
+        library = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
+        made = json.loads(library.to_str())
+        split = made["pre_tokenizer"] or {}
+        if made["normalizer"] or made["model"]["type"] != "BPE" or (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) != ("ByteLevel", False, True):
+            raise ValueError(f"{name} isn't plain byte-level BPE")
+        _libraries[name] = library
+    return Encoder(_libraries[name])
 
 
 def texts(column, limit: int = CHUNK_BYTES):

@@ -12,8 +12,10 @@ import numpy as np
 import pyarrow as pa
 
 SPACE = 0x20
-#: Bytes of text that are worked on at once; a longer text is worked on alone.
-CHUNK_BYTES = 1 << 20
+#: Bytes and rows of text that are worked on at once; a longer text is worked on alone.
+CHUNK_BYTES, CHUNK_ROWS = 1 << 18, 2048
+#: Values that are hashed at once; a longer span is hashed alone.
+_SEGMENT = 1 << 16
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
@@ -43,11 +45,11 @@ def buffers(column: pa.Array) -> tuple[memoryview, np.ndarray]:
 
 
 def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of at most limit bytes, or of one row."""
+    """Ranges of at most CHUNK_ROWS rows and limit bytes, or of one row."""
     low, rows = 0, len(offsets) - 1
     while low < rows:
         high = int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1
-        high = min(max(high, low + 1), rows)
+        high = min(max(high, low + 1), rows, low + CHUNK_ROWS)
         yield low, high
         low = high
 
@@ -71,18 +73,28 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             a = np.full(size, base, np.uint64)
             a[0] = 1
             out.append(np.multiply.accumulate(a))
-        if size > 1 << 24:
+        if size > 4 * _SEGMENT:  # for one long span only
             return out[0], out[1]
         _powers = out[0], out[1]
     return _powers
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end], whatever stands around them."""
-    forward, back = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * forward[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of values[start:end], whatever stands around them; spans ascend and don't overlap."""
+    out, low = np.empty(len(starts), np.uint64), 0
+    while low < len(starts):
+        at = starts[low]
+        high = max(low + 1, int(np.searchsorted(ends, at + _SEGMENT, "right")))
+        s, e = starts[low:high] - at, ends[low:high] - at
+        part = values[at : at + e[-1]].astype(np.uint64)
+        part += np.uint64(1)
+        forward, back = powers(len(part) + 1)
+        part *= forward[: len(part)]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, out=total[1:])
+        out[low:high] = mix((total[e] - total[s]) * back[s] + (e - s).astype(np.uint64))
+        low = high
+    return out
 
 
 class Words:
@@ -121,10 +133,3 @@ def grams(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
         total = (total ^ hashes[j : j + n]) * np.uint64(0xC2B2AE3D27D4EB4F)
         total ^= total >> np.uint64(29)
     return mix(total)
-
-
-def string_crc32(ids: np.ndarray | list) -> np.ndarray:
-    """crc32 of each id as decimal text; of a null, as of an empty text."""
-    import zlib
-
-    return np.array([zlib.crc32(b"" if x is None else str(x).encode()) for x in ids], np.uint32)

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``; where that is unset, a temporary folder if all runs on this machine, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         known = context._jsc.sc().getCheckpointDir()
         if known.isDefined():
             folder = known.get()
+        elif not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             folder = "file://" + tempfile.mkdtemp(prefix="candlework-")
             context.setCheckpointDir(folder)
@@ -48,3 +50,9 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what all operators have written, once no result that reads it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/candlework")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,7 +6,7 @@ sum over its n-grams of how far the ranks lie apart, with a fixed largest distan
 nearest profile names the language.
 
 Plan: profiles come from one pass over all labelled training texts, counted inside tasks and summed by (language,
-n-gram); of each language the first TOP are taken by a top-k plan. They are a bounded table, sent to the pass that
+n-gram); of each language the first TOP are taken by one window whose limit is pushed below the shuffle. They are a bounded table, sent to the pass that
 predicts, which has no shuffle. N-grams are counted on arrays for many documents at once.
 """
 
@@ -16,10 +16,11 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlework.llm._bytes import buffers, chunks
+from candlework.llm._store import Scratch
 
 #: N-grams in a profile and in a document's list.
 TOP = 300
@@ -107,19 +108,11 @@ def profiles(docs: DataFrame, *, text: str = "text", lang: str = "lang", top: in
 
     rows = docs.select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).where("t is not null and l is not null")
     sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    sums = sums.persist()
-    names = sorted(r[0] for r in sums.select("lang").distinct().collect())  # languages, not rows
-    out = None
-    for name in names:
-        one = sums.where(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(top)
-        out = one if out is None else out.unionByName(one)
-    found = out.collect() if out is not None else []
-    sums.unpersist()
-    ranked, at = [], {}
-    for name, gram, _ in sorted(found, key=lambda r: (r[0], -r[2], r[1])):
-        at[name] = at.get(name, -1) + 1
-        ranked.append((name, gram, at[name]))
-    return docs.sparkSession.createDataFrame(ranked, "lang string, gram long, rank int")
+    # Of each language the first n-grams; rows of a language are its distinct n-grams, and a window with a limit on its
+    # rank keeps top rows a task before it shuffles.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    best = sums.withColumn("rank", place).where(F.col("rank") <= top).select("lang", "gram", (F.col("rank") - 1).alias("rank"))
+    return Scratch(docs.sparkSession, "profiles").keep(best, "profiles")
 
 
 class Matcher:

@@ -24,9 +24,10 @@ def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
 
     def count(batches):
+        known = encoder(tokenizer)
         for batch in batches:
             for data, offsets, low, high in texts(batch.column(1)):
-                n = encoder(tokenizer).count(data, offsets, low, high)
+                n = known.count(data, offsets, low, high)
                 size = np.diff(offsets[low : high + 1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(size), pa.array(n)], [doc_id, "n_bytes", "n_tokens"])
 

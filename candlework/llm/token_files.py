@@ -45,10 +45,10 @@ def write_token_files(docs: DataFrame, path: str, *, doc_id: str = "doc_id", tex
     """
 
     def encode(batches):
-        part, before = TaskContext.get().partitionId(), 0
+        part, before, known = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         for batch in batches:
             for data, offsets, low, high in texts(batch.column(1)):
-                ids = encoder(tokenizer).encode(data, offsets, low, high)
+                ids = known.encode(data, offsets, low, high)
                 n = np.array([len(x) + 1 for x in ids], np.int64)
                 cut = np.concatenate(([0], np.cumsum(n)))
                 flat = np.full(cut[-1], end, np.int32)
