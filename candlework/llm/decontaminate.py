@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlework.llm import _bitmap
@@ -78,16 +78,18 @@ def _item_fingerprints(batches):
         )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", row_key: tuple[Column, ...] = ()) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items (ids as sorted strings), spans (hit word ranges), contaminated.
 
     Words are runs of ASCII letters and digits and of all characters above U+007F, A-Z lower-cased. A span of SPAN words
     of an item, or a whole shorter item, that occurs in a document hits its words there; spans are half-open word ranges,
-    which may overlap. A null or empty text has no words. Rows that repeat both id and text give one result row. Items
-    without words never occur; items with a null id hit words but are not listed. An empty benchmark hits nothing. Other
-    columns of the inputs are not looked at.
+    which may overlap. A null or empty text has no words. Rows that repeat both id and text give one result row; with a
+    row_key, columns that together tell all rows apart, every row has its result and those columns, as key_0, key_1 and
+    so on. Items without words never occur; items with a null id hit words but are not listed. An empty benchmark hits
+    nothing. Other columns of the inputs are not looked at.
     """
     spark = docs.sparkSession
+    extra = [f"key_{i}" for i in range(len(row_key))]
     found = items.select(F.col(item_id).cast("string"), F.col(item_text).cast("string")).mapInArrow(_item_fingerprints, f"fp long, span int, item string, fp_words {_CONTEXT}")
     prints = found.groupBy("fp", "span", "fp_words").agg(F.collect_set("item").alias("fp_items"))
     shown = spark.sparkContext.broadcast(_bitmap.build(found.select("fp"), "fp"))
@@ -109,16 +111,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
                         kept[row].append({"h": h, "at": first - int(words.bounds[row]), "words": _around(words, row, first, length, "\x02")})
                 sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes + np.arange(len(hashes), dtype=np.uint64)))))
                 key = sums[words.bounds[1:]] - sums[words.bounds[:-1]]
+                same = [batch.column(i).slice(low, high - low) for i in (0, *range(2, batch.num_columns))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), pa.array(key.view(np.int64)), pa.array(words.counts.astype(np.int64)), pa.array(kept, pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int64()), ("words", pa.list_(pa.string()))])))],
-                    ["id", "text_key", "n_words", "kept"],
+                    [*same, pa.array(key.view(np.int64)), pa.array(words.counts.astype(np.int64)), pa.array(kept, pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int64()), ("words", pa.list_(pa.string()))])))],
+                    ["id", *extra, "text_key", "n_words", "kept"],
                 )
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(fingerprints, f"id {kind}, text_key long, n_words long, kept array<struct<h: long, at: long, words: {_CONTEXT}>>")
-    one = rows.select("id", "text_key", "n_words", F.explode_outer("kept").alias("kept"))
+    plain = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("t"), *[c.cast("long").alias(x) for c, x in zip(row_key, extra)])
+    kinds = ", ".join([f"id {plain.schema['id'].dataType.simpleString()}", *[f"{x} long" for x in extra]])
+    rows = plain.mapInArrow(fingerprints, f"{kinds}, text_key long, n_words long, kept array<struct<h: long, at: long, words: {_CONTEXT}>>")
+    one = rows.select("id", *extra, "text_key", "n_words", F.explode_outer("kept").alias("kept"))
     # A row without fingerprints keeps a key of its own: many nulls would meet in one task.
-    one = one.select("id", "text_key", "n_words", F.coalesce("kept.h", F.xxhash64("id", "text_key")).alias("h"), F.col("kept.at").alias("at"), F.col("kept.words").alias("words"))
+    one = one.select("id", *extra, "text_key", "n_words", F.coalesce("kept.h", F.xxhash64("id", *extra, "text_key")).alias("h"), F.col("kept.at").alias("at"), F.col("kept.words").alias("words"))
     joined = one.join(prints, one.h == prints.fp, "left")
 
     same = F.zip_with("words", "fp_words", lambda a, b: F.coalesce(a == b, F.lit(False)))
@@ -139,7 +143,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     hit = F.forall(F.slice("same", F.col("lead") + 1, F.col("core")), lambda x: x) & (F.col("left") + F.col("core") + F.col("right") >= F.col("span"))
     hit = hit & F.col("fp").isNotNull() & (F.size("words") == F.size("fp_words"))
     span = F.struct((F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("core") + F.col("right")).alias("end"))
-    whole = joined.groupBy("id", "text_key", "n_words").agg(F.array_sort(F.collect_set(F.when(hit, span))).alias("spans"), F.collect_set(F.when(hit, F.col("fp_items"))).alias("sets"))
+    whole = joined.groupBy("id", *extra, "text_key", "n_words").agg(F.array_sort(F.collect_set(F.when(hit, span))).alias("spans"), F.collect_set(F.when(hit, F.col("fp_items"))).alias("sets"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("to"), F.lit(0).cast("long").alias("n")),
@@ -147,5 +151,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
         lambda s: s["n"],
     )
     listed = F.array_sort(F.array_distinct(F.flatten("sets")))
-    out = whole.select(F.col("id").alias(doc_id), "n_words", covered.alias("n_hit"), listed.alias("items"), "spans")
-    return out.select(doc_id, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", (F.col("n_hit") > 0).alias("contaminated"))
+    out = whole.select(F.col("id").alias(doc_id), *extra, "n_words", covered.alias("n_hit"), listed.alias("items"), "spans")
+    return out.select(doc_id, *extra, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", (F.col("n_hit") > 0).alias("contaminated"))

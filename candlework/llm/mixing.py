@@ -67,13 +67,15 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
 
 def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The documents as often as the mix takes them, with all their columns; a document with no words may be left out."""
+    """The documents as often as the mix takes them, with all their columns; a document with no words may be left out.
+
+    Nulls and repeated rows are drawn as in mix.
+    """
     sums = docs.select(F.col(source).cast("string").alias("s"), size(text).alias("n")).groupBy("s").agg(F.sum("n")).collect()
     weights, repeat, seed = how.get("weights", WEIGHTS), how.get("repeat", REPEAT), how.get("seed", SEED)
     rates = [(name, goal / n if n else 0.0) for name, n, goal in targets([(r[0], r[1]) for r in sums], weights, repeat)]
-    table = docs.sparkSession.createDataFrame(rates, "_mix_of string, _mix_rate double")
-    both = docs.join(table, F.col(source).cast("string").eqNullSafe(F.col("_mix_of")))
-    rate = F.col("_mix_rate")
-    copies = (F.floor(rate) + F.when(draw(doc_id, seed) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
-    repeated = both.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), copies)))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    table = docs.sparkSession.createDataFrame(rates, "of string, rate double")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(source).cast("string").alias("source"), draw(doc_id, seed).alias("draw"))
+    both = row.join(table, F.col("source").eqNullSafe(F.col("of")))
+    copies = (F.floor("rate") + F.when(F.col("draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
+    return both.select("doc", F.explode(F.array_repeat(F.lit(0), copies))).select("doc.*")
