@@ -6,7 +6,8 @@ again as the next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlework.llm import lang_id, mixing, token_files
@@ -14,11 +15,24 @@ from candlework.llm._store import Scratch
 from candlework.llm.decontaminate import decontaminate
 from candlework.llm.near_dup import near_duplicates
 
+KEYS = ["key_0", "key_1"]
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows whose id isn't among those that go; these are few, so Spark broadcasts them where they are small."""
-    ids = gone.select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct()
-    return docs.join(ids, docs.doc_id == F.col("_gone"), "left_anti")
+
+def _keyed(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, tuple[Column, ...]]:
+    """docs, and two longs that tell its rows apart, whatever their ids: the file of its table and the row's place in it."""
+    try:
+        at = docs.metadataColumn("_metadata")
+        docs.select(at.row_index)
+    except AnalysisException:  # rows that don't come from a table
+        docs = Scratch(spark, "rows").keep(docs, "rows")
+        at = docs.metadataColumn("_metadata")
+    return docs, (F.xxhash64(at.file_path), at.row_index)
+
+
+def _without(docs: DataFrame, key: tuple[Column, ...], gone: DataFrame) -> DataFrame:
+    """The rows whose key isn't among those that go. The row is carried as one column, so no name can clash."""
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), *[c.alias(x) for c, x in zip(key, KEYS)])
+    return rows.join(gone.select(*KEYS), KEYS, "left_anti").select("doc.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,19 +41,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates."""
-    found = near_duplicates(docs)
-    return _without(docs, found.where(~F.col("kept")))
+    """Keep one row of each group of near duplicates, on shingles of five words.
+
+    It is the one with the smallest id, nulls last; of rows that repeat an id, or all they hold, one too. Rows are told
+    apart by their place in the table, so ids may be null, negative or shared. Texts without words are no duplicates.
+    """
+    docs, key = _keyed(spark, docs)
+    return _without(docs, key, near_duplicates(docs, row_key=key).where(~F.col("kept")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that share no span with a benchmark item."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("contaminated"))
+    """Keep the rows that share no span with a benchmark item, each by its own text whatever its id."""
+    docs, key = _keyed(spark, docs)
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row_key=key)
+    return _without(docs, key, found.where("contaminated"))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; a null source is one of its own."""
     return mixing.mixed(docs)
 
 
@@ -70,4 +89,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.keep(docs, name)
+        if k:  # token_output has written its files by now
+            scratch.drop(STAGES[k - 1][0])
     return docs
