@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,29 +69,51 @@ def momentum(bars: DataFrame) -> DataFrame:
     return staged.withColumns(out).drop("_gain", "_loss", "_move")
 
 
+STATISTICAL = (5, 10, 20, 30, 60)
+
+
 def statistical(bars: DataFrame) -> DataFrame:
-    c = F.col("close")
-    out: dict[str, Column] = {}
-    for p in (5, 10, 20, 30, 60):
-        n = float(p)
-        low, high = full(p, F.min("close"), "close"), full(p, F.max("close"), "close")
-        q = F.percentile("close", F.array(F.lit(0.25), F.lit(0.75))).over(trailing(p))
-        guard = F.count("close").over(trailing(p)) == p
-        out |= {
-            f"mean_{p}": mean("close", p),
-            f"std_{p}": std("close", p),
-            f"skew_{p}": full(p, F.skewness("close"), "close") * (math.sqrt(n * (n - 1)) / (n - 2)),
-            f"kurt_{p}": (full(p, F.kurtosis("close"), "close") * (n + 1) + 6) * ((n - 1) / ((n - 2) * (n - 3))),
-            f"min_{p}": low,
-            f"max_{p}": high,
-            f"range_{p}": high - low,
-            f"position_in_range_{p}": div(c - low, high - low + EPS),
-            f"quantile_25_{p}": F.when(guard, q[0]),
-            f"quantile_75_{p}": F.when(guard, q[1]),
-            f"iqr_{p}": F.when(guard, q[1] - q[0]),
-        }
-    out |= {f"zscore_{p}": div(c - mean("close", p), std("close", p) + EPS) for p in (10, 20, 30)}
-    return bars.withColumns(out)
+    """Moments and quantiles of sliding windows.
+
+    Window aggregates would go through all rows of a frame for each row, here some 125 by eleven aggregates, with a hash
+    map for each exact quantile. A ticker's closes are one array instead, on which all windows of a size are one view.
+    """
+    names = [f"{s}_{p}" for p in STATISTICAL for s in ("mean", "std", "skew", "kurt", "min", "max", "range", "position_in_range", "quantile_25", "quantile_75", "iqr")] + [f"zscore_{p}" for p in (10, 20, 30)]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ts", kind="stable")
+        close = rows["close"].to_numpy("float64")
+        out = {name: np.full(len(close), np.nan) for name in names}
+        for p in STATISTICAL:
+            ends = np.arange(p - 1, len(close))
+            for part in np.array_split(ends, max(1, len(ends) * p >> 20)):
+                if not len(part):
+                    continue
+                x = np.lib.stride_tricks.sliding_window_view(close[part[0] - p + 1 : part[-1] + 1], p)
+                mean, low, high = x.mean(1), x.min(1), x.max(1)
+                d = x - mean[:, None]
+                m2, m3, m4 = ((d**k).sum(1) for k in (2, 3, 4))
+                std = np.sqrt(m2 / (p - 1))
+                flat = np.where(m2 > 0, m2, np.nan)
+                g1, g2 = math.sqrt(p) * m3 / flat**1.5, p * m4 / flat**2 - 3
+                ordered_ = np.sort(x, axis=1)
+                q = []
+                for share in (0.25, 0.75):
+                    i, rest = divmod(share * (p - 1), 1)
+                    a, b = ordered_[:, int(i)], ordered_[:, min(int(i) + 1, p - 1)]
+                    q.append(a + (b - a) * rest)
+                span_, last = high - low, close[part]
+                values = {
+                    "mean": mean, "std": std, "skew": g1 * (math.sqrt(p * (p - 1)) / (p - 2)), "kurt": (g2 * (p + 1) + 6) * ((p - 1) / ((p - 2) * (p - 3))), "min": low, "max": high, "range": span_,
+                    "position_in_range": (last - low) / (span_ + EPS), "quantile_25": q[0], "quantile_75": q[1], "iqr": q[1] - q[0], "zscore": (last - mean) / (std + EPS),
+                }
+                for name, v in values.items():
+                    if f"{name}_{p}" in out:
+                        out[f"{name}_{p}"][part] = v
+        return pd.concat([rows, pd.DataFrame(out, index=rows.index)], axis=1)
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema] + [f"`{n}` double" for n in names])
+    return bars.groupBy("ticker").applyInPandas(run, schema)
 
 
 def pattern(bars: DataFrame) -> DataFrame:
@@ -160,15 +184,14 @@ def features(bars: DataFrame, families=tuple(FAMILIES)) -> DataFrame:
 
 
 def importance(frame: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, importance, category): absolute correlation of each column with the next bar's return."""
-    nxt = frame.withColumn("_next", F.lead("close").over(ordered()) / F.col("close") - 1)
-    sums = []
-    for c in columns:
-        x = F.when(F.col("_next").isNotNull(), F.col(c).cast("double"))
-        y = F.when(x.isNotNull(), F.col("_next"))
-        sums.append(F.abs(F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))).alias(c))
-    wide = nxt.agg(*sums)
-    return wide.unpivot([], columns, "feature", "importance").withColumn("category", category(F.col("feature")))
+    """(feature, importance, category): absolute correlation of each column with the next bar's return, the largest first."""
+    # One row for each value: aggregates for all columns at once would be too much code to compile.
+    nxt = frame.withColumn("_next", F.lead("close").over(ordered()) / F.col("close") - 1).where("_next is not null")
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])
+    long = nxt.select("_next", F.explode(pairs).alias("p")).select("p.feature", "p.x", F.when(F.col("p.x").isNotNull(), F.col("_next")).alias("y"))
+    value = F.abs(F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y"))).alias("importance")
+    out = long.groupBy("feature").agg(value).withColumn("category", category(F.col("feature")))
+    return out.orderBy(F.desc_nulls_last("importance"), "feature")
 
 
 def category(name: Column) -> Column:

@@ -61,7 +61,7 @@ def macd_crossover(macd: Column, signal: Column) -> Column:
 
 
 def bb_signal(percent: Column) -> Column:
-    return F.when(percent < 0, "below_lower").when(percent > 1, "above_upper").when(percent < 0.2, "near_lower").when(percent > 0.8, "near_upper").otherwise("middle")
+    return F.when(percent < 0, "below_lower").when(percent > 1, "above_upper").when(percent < 0.2, "near_lower").when(percent > 0.8, "near_upper").otherwise("normal")
 
 
 def analyze(bars: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def signals(last: DataFrame) -> DataFrame:
         F.when(c("stoch_k").between(40, 80), "STOCH_MOMENTUM"),
         F.when((c("sma_20") > c("sma_50")) & (c("sma_50") > c("sma_200")), "MA_PERFECT_ALIGNMENT").when(c("sma_20") > c("sma_50"), "MA_BULLISH_ALIGNMENT"),
         F.when(c("bb_percent") > 0.8, "APPROACHING_BREAKOUT"),
-        F.when(c("macd") > 0, "MACD_ABOVE_ZERO"),
+        F.when((c("macd") > c("macd_signal")) & (c("macd") > 0), "MACD_ABOVE_ZERO"),
     ]
     return last.withColumn("signals", F.array_compact(F.array(*tags)))
 

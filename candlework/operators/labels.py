@@ -5,6 +5,8 @@ A window is an array column made by one window aggregate; the rules are array fu
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,7 +114,37 @@ def dataset(bars: DataFrame, stride: int = 5, ahead: int = 20) -> DataFrame:
     fr, p = F.col("future_return"), F.col("pattern_id")
     wrong = (p.isin(*BULLISH) & (fr < -0.05)) | (p.isin(*BEARISH) & (fr > 0.05))
     frame = frame.withColumn("pattern_id", F.when(wrong, 0).otherwise(p)).where((F.col("confidence") > 0.6) | (F.col("pattern_id") == 0))
-    return frame.select(KEY, F.col("_end").alias("date"), "pattern_id", "confidence", "future_return", "w_o", "w_h", "w_l", "w_c")
+    start = F.col("_i").cast("long").alias("start_idx")
+    return frame.select(KEY, F.col("_end").alias("date"), "pattern_id", "confidence", "future_return", start, "w_o", "w_h", "w_l", "w_c")
+
+
+def records(rows: DataFrame, back: int = 20) -> DataFrame:
+    """Adds to rows with pattern_id, start_idx and window arrays: pattern (its name), end_idx, and breakout_idx.
+
+    Places are of bars in the ticker's series. The breakout is at the window's last bar if its close is above 0.99 of the
+    highest high of its last bars, else null.
+    """
+    names = F.create_map(*[F.lit(x) for pair in PATTERNS.items() for x in pair])
+    end = F.col("start_idx") + W - 1
+    out = _at("w_c", W - 1) > 0.99 * F.array_max(_slice("w_h", W - back, W))
+    return rows.withColumns({"pattern": names[F.col("pattern_id")], "end_idx": end, "breakout_idx": F.when(out, end)})
+
+
+def collect(bars: DataFrame, prices: str = "raw", most: int = 100, least_bars: int = 250) -> DataFrame:
+    """A data set for training: labelled windows of the tickers that pass the loose screen, the best ones by score.
+
+    prices: windows of the bars as they are, or "scaled": of each ticker's scaled columns, so that thresholds on relative
+    changes apply to deviations from the mean, as in the pipeline this follows. Tickers need more than least_bars bars.
+    """
+    from candlework.operators import prepare, screen
+
+    good = screen.ranked(screen.screen(bars, screen.MODES["loose"]), most).select(KEY)
+    some = bars.join(good, KEY, "left_semi").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(KEY))).where(F.col("_n") > least_bars).drop("_n")
+    if prices == "scaled":
+        some = prepare.preprocess(some)[0]
+    elif prices != "raw":
+        raise ValueError("prices must be raw or scaled")
+    return dataset(some)
 
 
 def distribution(labels: DataFrame) -> DataFrame:
@@ -120,13 +152,22 @@ def distribution(labels: DataFrame) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # a row for each pattern
 
 
-def backtest(bars: DataFrame, ahead: int = 20) -> DataFrame:
-    """A row for each ticker with 80 bars or more: the pattern of the 60 bars before its last 20, what came, and whether the direction was right."""
+def held_back(bars: DataFrame, ahead: int = 20) -> DataFrame:
+    """The windows of 60 bars before each ticker's last ahead ones, with actual_return, what came after."""
     frame = windows(bars).withColumns({"_last": lead("close", W - 1), "_then": lead("close", W - 1 + ahead)}).where(F.col("_i") == F.col("_n") - W - ahead)
-    frame = labelled(frame).withColumn("actual_return", div(F.col("_then") - F.col("_last"), "_last"))
+    return frame.withColumns({"actual_return": div(F.col("_then") - F.col("_last"), "_last"), "start_idx": F.col("_i").cast("long")})
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """Adds correct: whether actual_return went the way of pattern_id."""
     r, p = F.col("actual_return"), F.col("pattern_id")
-    right = F.when(p.isin(*BULLISH), r > 0).when(p.isin(2, 8), r < 0).otherwise(F.abs(r) < 0.03)
-    return frame.select(KEY, "pattern_id", "confidence", "actual_return", right.alias("correct"))
+    return rows.withColumn("correct", F.when(p.isin(*BULLISH), r > 0).when(p.isin(2, 8), r < 0).otherwise(F.abs(r) < 0.03))
+
+
+def backtest(bars: DataFrame, ahead: int = 20) -> DataFrame:
+    """A row for each ticker with 80 bars or more: what the rules find in its window that is held back, and whether the
+    direction was right. model.backtest does the same with a model's detections."""
+    return judged(labelled(held_back(bars, ahead))).select(KEY, "pattern_id", "confidence", "actual_return", "correct")
 
 
 def accuracy(tested: DataFrame) -> DataFrame:
@@ -142,20 +183,32 @@ def breakout_point(bars: DataFrame, k: int = 20) -> DataFrame:
 
 
 def pattern_box(bars: DataFrame, k: int = W) -> DataFrame:
-    """(ticker, start, end, low, high): the rectangle around each ticker's last k bars that a chart would highlight."""
+    """(ticker, start, end, low, high, marked): the rectangle around each ticker's last k bars that a chart would highlight,
+    and the time of the breakout that it would mark, or null."""
     from candlework.functions.windows import last_rows
 
-    return last_rows(bars, k).groupBy(KEY).agg(F.min(TIME).alias("start"), F.max(TIME).alias("end"), F.min("low").alias("low"), F.max("high").alias("high"))
+    box = last_rows(bars, k).groupBy(KEY).agg(F.min(TIME).alias("start"), F.max(TIME).alias("end"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return box.join(breakout_point(bars), KEY, "left").select(KEY, "start", "end", "low", "high", F.when(F.col("breakout"), F.col(TIME)).alias("marked"))
+
+
+def _uniform(*parts: Column) -> Column:
+    """On [0, 1), from 52 bits of a digest."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def augment(rows: DataFrame, column: str, label: str = "pattern_id", seed: int = 1) -> DataFrame:
-    """Four variants of each row's array: as it is, with noise, scaled, and (labelled rows) rolled by one or two. Seeded."""
-    noise = F.transform(column, lambda x, i: x + 0.01 * (F.pmod(F.xxhash64(F.lit(seed), x, i), F.lit(20001)) / 10000.0 - 1))
-    unit = F.pmod(F.xxhash64(F.lit(seed), F.to_json(F.struct(column))), F.lit(1000)) / 1000.0
-    scaled = F.transform(column, lambda x: x * (0.95 + 0.1 * unit))
-    shift = F.when(unit < 0.5, 1).otherwise(2)
-    rolled = F.concat(F.slice(column, -shift, shift), F.slice(column, F.lit(1), F.size(column) - shift))
-    kinds = [("original", F.col(column)), ("noise", noise), ("scaled", scaled), ("rolled", F.when(F.col(label) != 0, rolled))]
+def augment(rows: DataFrame, column: str, label: str = "pattern_id", keys: tuple[str, ...] = (KEY, "date"), seed: int = 1, deviation: float = 0.01) -> DataFrame:
+    """Variants of each row's array: as it is, with normal noise, scaled by 0.95 to 1.05, and (labelled rows) rolled by up
+    to two places to either side; a roll by none makes no row. Seeded by the row's keys."""
+    named = [F.col(k).cast("string") for k in keys]
+    u = lambda *what: _uniform(F.lit(str(seed)), *named, *what)
+    normal = lambda i: F.sqrt(-2 * F.ln(1 - u(F.lit("a"), i.cast("string")))) * F.cos(2 * math.pi * u(F.lit("b"), i.cast("string")))
+    noise = F.transform(column, lambda x, i: x + deviation * normal(i))
+    scaled = F.transform(column, lambda x: x * (0.95 + 0.1 * u(F.lit("scale"))))
+    shift = F.floor(u(F.lit("roll")) * 5).cast("int") - 2
+    n = F.size(column)
+    cut = F.pmod(n - shift, n)
+    rolled = F.concat(F.slice(column, cut + 1, n - cut), F.slice(column, F.lit(1), cut))
+    kinds = [("original", F.col(column)), ("noise", noise), ("scaled", scaled), ("rolled", F.when((F.col(label) != 0) & (shift != 0), rolled))]
     variants = F.array(*[F.struct(F.lit(k).alias("variant"), v.alias("x")) for k, v in kinds])
     out = rows.withColumn("_v", F.explode(F.filter(variants, lambda v: v["x"].isNotNull())))
     return out.withColumns({"variant": F.col("_v.variant"), column: F.col("_v.x")}).drop("_v")

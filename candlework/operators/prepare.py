@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from candlework.functions.windows import KEY, TIME, div, ordered
 
 _past = lambda: ordered().rowsBetween(Window.unboundedPreceding, 0)
-_future = lambda: ordered().rowsBetween(0, Window.unboundedFollowing)
+# Rows to come, read backwards: a frame that grows is summed once, one that shrinks anew for each row.
+_future = lambda: Window.partitionBy(KEY).orderBy(F.desc(TIME)).rowsBetween(Window.unboundedPreceding, 0)
 _whole = lambda: Window.partitionBy(KEY)
 
 
 def impute(frame: DataFrame, columns: list[str], method: str = "interpolate") -> DataFrame:
-    """interpolate (by row position, ends take the nearest value), forward_fill (then backward), drop, or mean."""
+    """interpolate (by row position, ends take the nearest value), forward_fill (then backward), drop, or mean.
+
+    But for drop, nulls stay only in columns of tickers that have no value at all.
+    """
     if method == "drop":
         return frame.na.drop(subset=columns)
-    filled = lambda c: F.coalesce(F.last(c, True).over(_past()), F.first(c, True).over(_future()))
+    filled = lambda c: F.coalesce(F.last(c, True).over(_past()), F.last(c, True).over(_future()))
     if method == "forward_fill":
         return frame.withColumns({c: filled(c) for c in columns})
     if method == "mean":
@@ -28,7 +32,7 @@ def impute(frame: DataFrame, columns: list[str], method: str = "interpolate") ->
     out: dict[str, Column] = {}
     for c in columns:
         at = F.when(F.col(c).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(c).alias("x")))
-        a, b = F.last(at, True).over(_past()), F.first(at, True).over(_future())
+        a, b = F.last(at, True).over(_past()), F.last(at, True).over(_future())
         between = a["x"] + div(b["x"] - a["x"], b["i"] - a["i"]) * (F.col("_i") - a["i"])
         out[c] = F.coalesce(F.col(c), between, a["x"], b["x"])
     return frame.withColumns(out).drop("_i")
@@ -79,6 +83,26 @@ def sequences(frame: DataFrame, columns: list[str], length: int = 60, target: st
     return out.where(F.size("seq") == length).select(KEY, TIME, "seq", "target")
 
 
+def preprocess(bars: DataFrame, families: tuple[str, ...] = (), length: int = 60, method: str = "standard", fitted: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All tickers' bars made ready for a model, each ticker by itself: scaled features, sequences, and metadata.
+
+    Features are the bars' own columns and those of some families (features.FAMILIES), imputed by interpolation, then
+    scaled by the ticker's parameters or by given ones (as from scale_parameters). Metadata is a row for each ticker: how
+    many features, samples, nulls before imputation, and sequences.
+    """
+    from candlework.operators.features import features
+
+    made = features(bars, families)
+    columns = [c for c in made.columns if c not in (KEY, TIME)]
+    numbers = {c: F.when(~F.isnan(x := F.col(c).cast("double")), x) for c in columns}
+    made = made.withColumns(numbers)
+    scaled = scale(impute(made, columns), columns, method, fitted)
+    missing = sum((F.count_if(F.col(c).isNull()) for c in columns), F.lit(0))
+    counts = made.groupBy(KEY).agg(F.count(F.lit(1)).alias("num_samples"), missing.alias("missing_values"))
+    metadata = counts.select(KEY, F.lit(len(columns)).cast("long").alias("num_features"), "num_samples", "missing_values", F.greatest(F.lit(0), F.col("num_samples") - length).alias("num_sequences"))
+    return scaled, sequences(scaled, columns, length), metadata
+
+
 def _cut(n: Column, share: float) -> Column:
     return F.floor(n.cast("double") * F.lit(share))
 
@@ -118,9 +142,15 @@ def split_walk_forward(frame: DataFrame, folds: int = 5, test_size: int = 30) ->
     return frame.withColumn("split", split).where("split is not null").drop("_i", "_n", "_step")
 
 
+def split_sequences(rows: DataFrame, train: float = 0.7, valid: float = 0.15) -> DataFrame:
+    """Adds split to windowed rows of each ticker by their order; shares are taken as they are, the rest is for testing."""
+    frame = rows.withColumns({"_i": F.row_number().over(ordered()) - 1, "_n": F.count(F.lit(1)).over(_whole())})
+    return frame.withColumn("split", F.when(F.col("_i") < _cut(F.col("_n"), train), "train").when(F.col("_i") < _cut(F.col("_n"), train + valid), "valid").otherwise("test")).drop("_i", "_n")
+
+
 def split_stratified(frame: DataFrame, label: str, **shares: float) -> DataFrame:
-    """As chronological, each label by itself; without that column, the whole series."""
-    return split_chronological(frame, by=[KEY, label] if label in frame.columns else None, **shares)
+    """As chronological, each label by itself; without that column, the whole series. Rows come in order of time."""
+    return split_chronological(frame, by=[KEY, label] if label in frame.columns else None, **shares).orderBy(KEY, TIME)
 
 
 def split_info(frame: DataFrame) -> DataFrame:

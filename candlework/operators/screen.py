@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,23 +60,41 @@ def metrics(bars: DataFrame, lookback: int = 5) -> DataFrame:
         "volatility": F.when(twenty, F.stddev_samp("_ret").over(trailing(LAST)) * F.sqrt(F.lit(252.0))).otherwise(1.0),
         "consecutive_up_days": F.sum("_streak").over(whole).cast("int"),
         "is_near_resistance": F.when(twenty, F.col("close") >= 0.98 * F.max("high").over(trailing(LAST))).otherwise(False),
+        "relative_strength": F.lit(0.0),  # fields that nothing fills
+        "accumulation_score": F.lit(0.0),
         "_back": F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc(TIME))),
     }
     return staged.withColumns(out).where((F.col("_back") == 1) & (F.col("n_bars") >= lookback)).select(KEY, TIME, *[c for c in out if c != "_back"])
 
 
-def checks(rows: DataFrame, criteria: Criteria) -> DataFrame:
-    """Adds passed_checks and failed_checks in order, and passed. Some checks only count when they pass."""
-    c = criteria
+def criteria_of(c: Criteria) -> Column:
+    """Thresholds as a struct column."""
+    return F.struct(*[F.lit(v).alias(k) if isinstance(v, bool) else F.lit(float(v)).alias(k) for k, v in asdict(c).items()])
+
+
+def by_mode(rows: DataFrame, modes: dict[str, Criteria]) -> DataFrame:
+    """Each row once for each mode, with columns mode and criteria; metrics are computed once for all."""
+    table = F.array(*[F.struct(F.lit(name).alias("mode"), criteria_of(c).alias("criteria")) for name, c in modes.items()])
+    return rows.withColumn("_m", F.explode(table)).select("*", "_m.mode", "_m.criteria").drop("_m")
+
+
+def checks(rows: DataFrame, criteria: Criteria | str) -> DataFrame:
+    """Adds passed_checks and failed_checks in order, and passed. Some checks only count when they pass.
+
+    Thresholds are given, or the name of a column that holds them (as by_mode makes).
+    """
+    rows = rows if isinstance(criteria, str) else rows.withColumn("_criteria", criteria_of(criteria))
+    name = criteria if isinstance(criteria, str) else "_criteria"
+    c = lambda x: F.col(f"{name}.{x}")
     tests: list[tuple[str, Column, bool]] = [
-        ("price_range", F.col("current_price").between(c.min_price, c.max_price), True),
-        ("positive_change", F.col("weekly_change").between(c.min_change, c.max_change), True),
-        ("volume", F.col("avg_volume") >= c.min_volume, True),
-        ("volume_surge", F.col("volume_ratio") >= c.min_volume_ratio, False),
-        ("momentum", F.col("momentum") >= c.min_momentum, True),
-        ("low_volatility", F.col("volatility") <= c.max_volatility, True),
-        ("uptrend", F.col("consecutive_up_days") >= c.min_up_days, False),
-        ("near_breakout", F.col("is_near_resistance") if c.near_resistance else F.lit(True), False),
+        ("price_range", F.col("current_price").between(c("min_price"), c("max_price")), True),
+        ("positive_change", F.col("weekly_change").between(c("min_change"), c("max_change")), True),
+        ("volume", F.col("avg_volume") >= c("min_volume"), True),
+        ("volume_surge", F.col("volume_ratio") >= c("min_volume_ratio"), False),
+        ("momentum", F.col("momentum") >= c("min_momentum"), True),
+        ("low_volatility", F.col("volatility") <= c("max_volatility"), True),
+        ("uptrend", F.col("consecutive_up_days") >= c("min_up_days"), False),
+        ("near_breakout", F.col("is_near_resistance") | ~c("near_resistance"), False),
     ]
     known = [(name, F.coalesce(test, F.lit(False)), recorded) for name, test, recorded in tests]
     critical = {"price_range", "positive_change", "volume", "momentum"}
@@ -89,7 +107,7 @@ def checks(rows: DataFrame, criteria: Criteria) -> DataFrame:
             "failed_checks": F.array_compact(F.array(*[F.when(~test, name) for name, test, recorded in known if recorded])),
             "passed": passed,
         }
-    )
+    ).drop("_criteria")
 
 
 def scored(rows: DataFrame) -> DataFrame:
@@ -126,7 +144,8 @@ def ranked(rows: DataFrame, most: int, only_passed: bool = True) -> DataFrame:
 
 
 def pass_rate(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("passed").cast("long")).alias("n_passed"), F.avg(F.col("passed").cast("double")).alias("rate"))
+    by = ["mode"] if "mode" in rows.columns else []
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("passed").cast("long")).alias("n_passed"), F.avg(F.col("passed").cast("double")).alias("rate"))
 
 
 def report(rows: DataFrame) -> DataFrame:

@@ -226,3 +226,134 @@ _WINDOWED = on("*", *_label_stages())
 ORACLES["label_windows"] = f"SELECT ticker, date, CAST(pid2 AS INT) AS pattern_id, round(conf, 8) AS confidence, round(fr, 8) AS future_return FROM ({_WINDOWED}) WHERE n >= 110 AND i % 5 = 0 AND i < n - 80 AND (conf > 0.6 OR pid2 = 0)"
 ORACLES["label_distribution"] = f"SELECT pattern_id, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 8) AS share FROM ({ORACLES['label_windows']}) GROUP BY pattern_id"
 ORACLES["backtest_direction"] = f"SELECT ticker, CAST(pid AS INT) AS pattern_id, round(conf, 8) AS confidence, round(fr, 8) AS actual_return, CASE WHEN pid IN (1, 6, 10) THEN fr > 0 WHEN pid = 8 THEN fr < 0 ELSE abs(fr) < 0.03 END AS correct FROM ({_WINDOWED}) WHERE i = n - 80"
+
+TREND = f"""SELECT ticker, ts, open / 500.0::DOUBLE + 100.0::DOUBLE + wave AS open, high / 500.0::DOUBLE + 100.0::DOUBLE + wave AS high, low / 500.0::DOUBLE + 100.0::DOUBLE + wave AS low, close / 500.0::DOUBLE + 100.0::DOUBLE + wave AS close, volume * 200000.0::DOUBLE AS volume
+FROM (SELECT *, CAST(abs((row_number() OVER ({W}) + 7 * CAST(ticker AS INT)) % 40 - 20) AS DOUBLE) AS wave FROM ({BROAD}))"""
+_SHADOW = f"abs(close - open) / ((high - greatest(close, open)) + (least(close, open) - low) + {EPS})"
+ORACLES["feat_shadows"] = on(T + f"round(least({_SHADOW}, 1e4::DOUBLE), 8) AS body_to_shadow_ratio")
+ORACLES["bars_trending"] = TREND
+ORACLES["bars_weekly"] = f"SELECT ticker, CAST(date_trunc('week', ts) AS DATE) AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume FROM ({DEEP}) AS b GROUP BY ticker, date_trunc('week', b.ts)"
+ORACLES["bars_scan"] = f"SELECT * FROM ({BROAD}) WHERE ticker IN ('1', '5', '7', 'none') AND ts >= DATE '1997-01-01' AND ts < DATE '1998-01-01'"
+ORACLES["bars_last_year"] = f"WITH b AS ({BROAD}) SELECT * FROM b WHERE ts >= (SELECT max(ts) - INTERVAL 1 YEAR FROM b) AND ticker IN (SELECT ticker FROM ({ORACLES['universe_info']}) ORDER BY ticker LIMIT 5)"
+ORACLES["universe_limit"] = "SELECT CAST(s_suppkey AS VARCHAR) AS ticker FROM supplier ORDER BY ticker LIMIT 20"
+ORACLES["universe_detailed"] = "SELECT 'S-' || s_suppkey AS ticker, s_name AS name, s_nationkey AS cik, s_acctbal AS Notes FROM supplier"
+ORACLES["fundamentals_lookup"] = f"""SELECT t.ticker, coalesce(name, 'N/A') AS name, coalesce(sector, 'N/A') AS sector, coalesce(industry, 'N/A') AS industry, CAST(0 AS BIGINT) AS market_cap, CAST(0 AS BIGINT) AS avg_volume, CAST(0 AS BIGINT) AS shares_outstanding,
+  CAST(NULL AS DOUBLE) AS pe_ratio, CAST(NULL AS DOUBLE) AS forward_pe, CAST(NULL AS DOUBLE) AS dividend_yield, CAST(length(name) AS DOUBLE) AS beta, CAST(NULL AS DOUBLE) AS high_52w, CAST(NULL AS DOUBLE) AS low_52w, CASE WHEN name IS NULL THEN 'missing' ELSE 'ok' END AS status
+FROM (SELECT CAST(n_nationkey * 7 AS VARCHAR) AS ticker FROM nation) t LEFT JOIN ({ORACLES['universe_info']}) u ON u.ticker = t.ticker"""
+ORACLES["ind_bands"] = on(T + r(bb_width="400 * sd / m") + ", " + rel(bb_upper="m + 2 * sd", bb_middle="m", bb_lower="m - 2 * sd", sma_20="m", sma_50=mean("close", 50), sma_200=mean("close", 200), volume_sma=mean("volume", 20)), f"{mean('close', 20)} AS m, {std('close', 20)} AS sd")
+_DAY = "(PARTITION BY ticker, CAST(ts AS DATE) ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+ORACLES["ind_vwap_intraday"] = on(T + rel(vwap=div(f"sum((high + low + close) / 3 * volume) OVER {_DAY}", f"sum(volume) OVER {_DAY}")), bars=HOURLY)
+
+# What indicators() has, of bars with a row for each ticker at the end
+_SEEN = f"({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_SNAPSHOT = on(
+    "*",
+    f"{TR} AS tr, close - {lag('close')} AS diff, high - {lag('high')} AS u, {lag('low')} - low AS d, {full(14, 'min', 'low')} AS lo14, {full(14, 'max', 'high')} AS hi14, {mean('close', 20)} AS m20, {std('close', 20)} AS sd20, {mean('close', 50)} AS m50, {mean('close', 200)} AS m200, {mean('volume', 20)} AS vs, "
+    "count(*) OVER (PARTITION BY ticker) AS n_bars, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS back",
+    "CASE WHEN diff IS NOT NULL THEN greatest(diff, 0) END AS gain, CASE WHEN diff IS NOT NULL THEN greatest(-diff, 0) END AS loss, CASE WHEN u IS NOT NULL THEN CASE WHEN u > d AND u > 0 THEN u ELSE 0 END END AS dmp, CASE WHEN d IS NOT NULL THEN CASE WHEN d > u AND d > 0 THEN d ELSE 0 END END AS dmm, 100 * (close - lo14) / nullif(hi14 - lo14, 0) AS k1",
+    f"{fold('close', 2 / 13)} AS e12, {fold('close', 2 / 27)} AS e26, {fold('gain', 1 / 14)} AS g, {fold('loss', 1 / 14)} AS l, {fold('tr', 1 / 14)} AS trw, {fold('dmp', 1 / 14)} AS pw, {fold('dmm', 1 / 14)} AS mw, {mean('k1', 3)} AS stoch_k",
+    "e12 - e26 AS macd, 100 * pw / nullif(trw, 0) AS pdi, 100 * mw / nullif(trw, 0) AS mdi", "100 * abs(pdi - mdi) / nullif(pdi + mdi, 0) AS dx", f"{fold('macd', 0.2)} AS sig, {fold('dx', 1 / 14)} AS adx",
+    bars=TREND,
+)
+_LAST = f"""SELECT ticker, ts, n_bars, rsi, adx, macd, sig, stoch_k, volume_ratio, m20, m50, m200, bb_percent,
+  CASE WHEN rsi <= 30 THEN 'oversold' WHEN rsi >= 70 THEN 'overbought' ELSE 'neutral' END AS rsi_signal, CASE WHEN macd > sig THEN 'bullish' WHEN macd < sig THEN 'bearish' ELSE 'neutral' END AS macd_crossover,
+  CASE WHEN bb_percent < 0 THEN 'below_lower' WHEN bb_percent > 1 THEN 'above_upper' WHEN bb_percent < 0.2 THEN 'near_lower' WHEN bb_percent > 0.8 THEN 'near_upper' ELSE 'normal' END AS bb_signal
+FROM (SELECT ticker, ts, n_bars, CASE WHEN ok THEN 100 * g / nullif(g + l, 0) END AS rsi, CASE WHEN ok THEN adx END AS adx, CASE WHEN ok THEN macd END AS macd, CASE WHEN ok THEN sig END AS sig, CASE WHEN ok THEN stoch_k END AS stoch_k, CASE WHEN ok AND vs > 0 THEN volume / vs END AS volume_ratio,
+  CASE WHEN ok THEN m20 END AS m20, CASE WHEN ok THEN m50 END AS m50, CASE WHEN ok THEN m200 END AS m200, CASE WHEN ok THEN CASE WHEN 4 * sd20 > 0 THEN (close - (m20 - 2 * sd20)) / ((m20 + 2 * sd20) - (m20 - 2 * sd20)) ELSE 0.5 END END AS bb_percent
+  FROM (SELECT *, n_bars >= 200 AS ok FROM ({_SNAPSHOT}) WHERE back = 1))"""
+_SCORE = [
+    "CASE WHEN rsi BETWEEN 50 AND 65 THEN 15 WHEN rsi > 65 AND rsi <= 75 THEN 5 WHEN rsi > 75 THEN -10 WHEN rsi < 40 THEN -10 ELSE 0 END", "CASE macd_crossover WHEN 'bullish' THEN 15 WHEN 'bearish' THEN -15 ELSE 0 END",
+    "CASE WHEN bb_percent BETWEEN 0.6 AND 0.9 THEN 10 WHEN bb_percent > 0.9 THEN 5 WHEN bb_percent < 0.3 THEN -10 ELSE 0 END", "CASE WHEN bb_signal = 'above_upper' THEN 5 ELSE 0 END",
+    "CASE WHEN adx > 30 THEN 15 WHEN adx >= 25 THEN 10 WHEN adx >= 20 THEN 5 WHEN adx < 20 THEN -5 ELSE 0 END", "CASE WHEN volume_ratio > 2 THEN 15 WHEN volume_ratio >= 1.5 THEN 10 WHEN volume_ratio >= 1.2 THEN 5 WHEN volume_ratio < 0.8 THEN -10 ELSE 0 END",
+    "CASE WHEN m20 > m50 AND m50 > m200 THEN 15 WHEN m20 > m50 THEN 8 WHEN m20 < m50 AND m50 < m200 THEN -15 ELSE 0 END", "CASE WHEN stoch_k BETWEEN 40 AND 80 THEN 5 WHEN stoch_k > 80 THEN -5 WHEN stoch_k < 20 THEN -10 ELSE 0 END",
+]
+ORACLES["ind_snapshot_score"] = f"SELECT ticker, ts, n_bars, CAST(greatest(0, least(100, 50 + {' + '.join(_SCORE)})) AS INT) AS score, rsi_signal, macd_crossover, bb_signal, {r(bb_percent='bb_percent', volume_ratio='volume_ratio', rsi='rsi', adx='adx', stoch_k='stoch_k')} FROM ({_LAST})"
+_TAGS = [
+    "CASE WHEN rsi BETWEEN 50 AND 70 THEN 'RSI_MOMENTUM' WHEN rsi > 70 THEN 'RSI_STRONG_MOMENTUM' END", "CASE WHEN macd_crossover = 'bullish' THEN 'MACD_BULLISH_CROSS' END", "CASE WHEN bb_signal IN ('near_upper', 'above_upper') THEN 'BB_BREAKOUT' END",
+    "CASE WHEN adx > 30 THEN 'VERY_STRONG_TREND' WHEN adx > 25 THEN 'STRONG_TREND' END", "CASE WHEN volume_ratio > 2 THEN 'MAJOR_VOLUME_SURGE' WHEN volume_ratio > 1.5 THEN 'VOLUME_SURGE' END", "CASE WHEN stoch_k BETWEEN 40 AND 80 THEN 'STOCH_MOMENTUM' END",
+    "CASE WHEN m20 > m50 AND m50 > m200 THEN 'MA_PERFECT_ALIGNMENT' WHEN m20 > m50 THEN 'MA_BULLISH_ALIGNMENT' END", "CASE WHEN bb_percent > 0.8 THEN 'APPROACHING_BREAKOUT' END", "CASE WHEN macd_crossover = 'bullish' AND macd > 0 THEN 'MACD_ABOVE_ZERO' END",
+]
+ORACLES["ind_signals"] = f"SELECT ticker, concat_ws(',', {', '.join(_TAGS)}) AS signals FROM ({_LAST})"
+
+# The screen: metrics of the last 20 bars, checks by mode, score
+_METRICS = f"""SELECT ticker, max(ts) AS ts, arg_max(close, ts) AS current_price, CAST(trunc(avg(volume)) AS BIGINT) AS avg_volume, arg_max(close, ts) / arg_max(w, ts) - 1 AS weekly0, (arg_max(close, ts) - arg_max(w, ts)) / arg_max(w, ts) AS weekly_change, arg_max(ret, ts) AS daily_change,
+  CASE WHEN avg(volume) > 0 THEN arg_max(volume, ts) / avg(volume) ELSE 0 END AS volume_ratio, CASE WHEN count(*) >= 20 THEN (avg(close) FILTER (WHERE back <= 5) - avg(close)) / avg(close) ELSE 0.0::DOUBLE END AS momentum,
+  CASE WHEN count(*) >= 20 THEN stddev_samp(ret) * sqrt(252) ELSE 1.0::DOUBLE END AS volatility, CAST(coalesce(min(back) FILTER (WHERE NOT coalesce(up, false)) - 1, count(*)) AS INT) AS consecutive_up_days, CASE WHEN count(*) >= 20 THEN arg_max(close, ts) >= 0.98::DOUBLE * max(high) ELSE false END AS is_near_resistance
+FROM (SELECT *, close / lag(close) OVER ({W}) - 1 AS ret, close > lag(close) OVER ({W}) AS up, lag(close, 4) OVER ({W}) AS w FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS back FROM ({TREND})) WHERE back <= 20) GROUP BY ticker HAVING count(*) >= 5"""
+ORACLES["screen_metrics"] = f"SELECT ticker, ts, avg_volume, consecutive_up_days, is_near_resistance, 0.0::DOUBLE AS relative_strength, 0.0::DOUBLE AS accumulation_score, {r(**{c: c for c in ('current_price', 'weekly_change', 'daily_change', 'volume_ratio', 'momentum', 'volatility')})} FROM ({_METRICS})"
+_MODES = "(VALUES ('default', 50, 500, 5e6, 1.2, 0.03, 0.07, 0.02, 2, 0.15, true), ('ultra_strict', 50, 500, 5e6, 1.3, 0.04, 0.065, 0.03, 2, 0.12, true), ('normal', 30, 1000, 2e6, 1.1, 0.03, 0.08, 0.01, 1, 0.20, false), ('loose', 20, 2000, 1e6, 1.0, 0.02, 0.10, 0.0, 0, 0.30, false)) AS modes(mode, p0, p1, v, vr, c0, c1, mo, up, vol, near)"
+_NAMES = ("price_range", "positive_change", "volume", "volume_surge", "momentum", "low_volatility", "uptrend", "near_breakout")
+_TESTED = f"""SELECT *, current_price BETWEEN p0 AND p1 AS t0, coalesce(weekly_change BETWEEN c0::DOUBLE AND c1::DOUBLE, false) AS t1, avg_volume >= v AS t2, volume_ratio >= vr::DOUBLE AS t3, momentum >= mo::DOUBLE AS t4, coalesce(volatility <= vol::DOUBLE, false) AS t5, consecutive_up_days >= up AS t6, is_near_resistance OR NOT near AS t7 FROM ({_METRICS}), {_MODES}"""
+_PASSED = ", ".join(f"CASE WHEN t{i} THEN '{n}' END" for i, n in enumerate(_NAMES))
+_FAILED = ", ".join(f"CASE WHEN NOT t{i} THEN '{n}' END" for i, n in enumerate(_NAMES) if i not in (3, 6, 7))
+_CHECKED = f"SELECT *, t0 AND t1 AND t2 AND t4 AS passed, concat_ws(',', {_PASSED}) AS passed_checks, concat_ws(',', {_FAILED}) AS failed_checks, {' + '.join(f't{i}::INT' for i in range(8))} AS ok, {' + '.join(f'(NOT t{i})::INT' for i in (0, 1, 2, 4, 5))} AS bad FROM ({_TESTED})"
+_POINTS = "coalesce(40.0::DOUBLE * ok / nullif(ok + bad, 0), 0) + CASE WHEN weekly_change BETWEEN 0.04 AND 0.06 THEN 20 WHEN weekly_change BETWEEN 0.03 AND 0.07 THEN 15 WHEN weekly_change > 0 THEN 10 ELSE 0 END + CASE WHEN volume_ratio >= 2 THEN 20 WHEN volume_ratio >= 1.5 THEN 15 WHEN volume_ratio >= 1.2 THEN 10 WHEN volume_ratio >= 1 THEN 5 ELSE 0 END + CASE WHEN momentum >= 0.05 THEN 10 WHEN momentum >= 0.03 THEN 7 WHEN momentum >= 0.01 THEN 5 ELSE 0 END + CASE WHEN consecutive_up_days >= 3 THEN 5 ELSE 0 END + CASE WHEN is_near_resistance THEN 5 ELSE 0 END"
+_SCORED = f"""SELECT *, CASE WHEN s >= 80 THEN 'A+' WHEN s >= 70 THEN 'A' WHEN s >= 60 THEN 'B+' WHEN s >= 50 THEN 'B' ELSE 'C' END AS setup_quality, CASE WHEN NOT passed THEN 'SKIP' WHEN s >= 75 AND volume_ratio > 1.5 THEN 'STRONG BUY' WHEN s >= 70 THEN 'BUY' WHEN s >= 60 THEN 'WATCH' ELSE 'MONITOR' END AS recommendation
+FROM (SELECT *, greatest(0.0::DOUBLE, least(100.0::DOUBLE, {_POINTS})) AS s FROM ({_CHECKED}))"""
+ORACLES["screen_checks"] = f"SELECT mode, ticker, passed, passed_checks, failed_checks FROM ({_CHECKED})"
+ORACLES["screen_scores"] = f"SELECT mode, ticker, round(s, 8) AS quality_score, setup_quality, recommendation FROM ({_SCORED})"
+ORACLES["screen_rank"] = f"SELECT ticker, round(s, 8) AS quality_score, setup_quality, recommendation, passed FROM ({_SCORED}) WHERE mode = 'loose' ORDER BY quality_score DESC, ticker LIMIT 50"
+ORACLES["screen_pass_rate"] = f"SELECT mode, count(*) AS n, CAST(sum(passed::INT) AS BIGINT) AS n_passed, round(avg(passed::INT), 8) AS rate FROM ({_CHECKED}) GROUP BY mode"
+ORACLES["screen_report"] = f"SELECT ticker, printf('%s $%.2f week %+.1f%% volume %.1fx score %.1f %s', ticker, current_price, weekly_change * 100, volume_ratio, s, recommendation) || CASE WHEN volume_ratio >= 2 THEN ' VOLUME SURGE' ELSE '' END AS line FROM ({_SCORED}) WHERE mode = 'loose'"
+
+_GAPS = on("ticker, ts, high, CASE WHEN i % 7 != 0 THEN close END AS x", f"row_number() OVER ({W}) AS i")
+ORACLES["impute_mean"] = f"SELECT ticker, ts, round(coalesce(x, avg(x) OVER (PARTITION BY ticker)) / high, 8) AS close_to_high FROM ({_GAPS})"
+ORACLES["impute_drop"] = f"SELECT ticker, ts, x AS close FROM ({_GAPS}) WHERE x IS NOT NULL"
+ORACLES["scale_minmax"] = on(T + r(**{c: f"({c} - min({c}) OVER (PARTITION BY ticker)) / (max({c}) OVER (PARTITION BY ticker) - min({c}) OVER (PARTITION BY ticker))" for c in ("close", "high")}))
+ORACLES["scale_fitted"] = f"""WITH s AS (SELECT * FROM ({DEEP}) JOIN ({ORACLES['split_chrono']}) USING (ticker, ts)), p AS (SELECT ticker, avg(close) AS m, stddev_pop(close) AS d FROM s WHERE split = 'train' GROUP BY ticker)
+SELECT ticker, ts, round((close - m) / d, 8) AS close FROM s JOIN p USING (ticker) WHERE split = 'test'"""
+ORACLES["feature_stats"] = " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n, count(*) - count({c}) AS n_null, round(avg({c}) / median({c}), 8) AS mean, round(stddev_samp({c}) / median({c}), 8) AS std, min({c}) AS min, max({c}) AS max, round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.75), 6) AS q75 FROM ({DEEP})" for c in ("high", "volume"))
+ORACLES["seq_arrays"] = "SELECT ticker, ts, sum_0, sum_1, middle_close FROM (" + on(
+    T + f"count(*) OVER {before(60)} AS n, round(sum(CAST(CAST(close AS FLOAT) AS DOUBLE)) OVER {before(60)}, 2) AS sum_0, round(sum(CAST(CAST(volume AS FLOAT) AS DOUBLE)) OVER {before(60)}, 2) AS sum_1, CAST(CAST({lag('close', 31)} AS FLOAT) AS DOUBLE) AS middle_close"
+) + ") WHERE n = 60"
+ORACLES["seq_split"] = f"SELECT ticker, ts, CASE WHEN i < floor(n * 0.7::DOUBLE) THEN 'train' WHEN i < floor(n * 0.85::DOUBLE) THEN 'valid' ELSE 'test' END AS split FROM (SELECT ticker, ts, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM ({ORACLES['seq_windows']}))"
+ORACLES["preprocess_sequences"] = "SELECT * FROM (" + on(
+    T + f"CAST(count(*) OVER {before(60)} AS INT) AS n, 5 AS width, round(CAST(CAST({lag('z')} AS FLOAT) AS DOUBLE), 4) AS last_close, round(CAST(CAST(z AS FLOAT) AS DOUBLE), 4) AS target", "(close - avg(close) OVER (PARTITION BY ticker)) / stddev_pop(close) OVER (PARTITION BY ticker) AS z"
+) + ") WHERE n = 60"
+_LAGGED = 2 + sum(2 * min_ for min_ in (1, 2, 3, 5, 10, 20, 30)) + sum(2 * min_ for min_ in (5, 10, 20))  # nulls of the price family in a series of 31 bars or more
+ORACLES["preprocess_metadata"] = f"SELECT ticker, CAST(47 AS BIGINT) AS num_features, count(*) AS num_samples, CAST({_LAGGED} AS BIGINT) AS missing_values, greatest(0, count(*) - 60) AS num_sequences FROM ({DEEP}) GROUP BY ticker"
+_BROAD_WINDOWS = on("*", *_label_stages(), bars=BROAD)
+ORACLES["backtest_accuracy"] = f"SELECT count(*) AS n, round(avg(correct::INT), 8) AS accuracy FROM (SELECT CASE WHEN pid IN (1, 6, 10) THEN fr > 0 WHEN pid = 8 THEN fr < 0 ELSE abs(fr) < 0.03 END AS correct FROM ({_BROAD_WINDOWS}) WHERE i = n - 80)"
+_KEPT = "n >= 110 AND i % 5 = 0 AND i < n - 80 AND (conf > 0.6 OR pid2 = 0)"
+ORACLES["label_records"] = f"SELECT ticker, date, CASE pid2 WHEN 0 THEN 'no_pattern' WHEN 1 THEN 'bull_flag' WHEN 6 THEN 'cup_and_handle' WHEN 8 THEN 'head_shoulders' ELSE 'double_bottom' END AS pattern, i AS start_idx, i + 59 AS end_idx, CASE WHEN c[60] > 0.99::DOUBLE * list_max(h[41:60]) THEN i + 59 END AS breakout_idx FROM ({_WINDOWED}) WHERE {_KEPT}"
+_CHOSEN = f"SELECT ticker FROM ({_SCORED}) WHERE mode = 'loose' AND passed ORDER BY s DESC, ticker LIMIT 100"
+_COLLECTED = on("*", *_label_stages(), bars=f"SELECT * FROM ({TREND}) WHERE ticker IN ({_CHOSEN})")
+ORACLES["collect_dataset"] = f"SELECT ticker, CAST(pid2 AS INT) AS pattern_id, count(*) AS n FROM ({_COLLECTED}) WHERE n > 250 AND {_KEPT} GROUP BY ticker, pid2"
+_Z = ", ".join(f"({c} - avg({c}) OVER (PARTITION BY ticker)) / stddev_pop({c}) OVER (PARTITION BY ticker) AS {c}" for c in ("open", "high", "low", "close"))
+_SCALED = on("*", *_label_stages(), bars=f"SELECT ticker, ts, {_Z} FROM ({TREND}) WHERE ticker IN ({_CHOSEN})")
+ORACLES["collect_scaled"] = f"SELECT ticker, count(*) AS n FROM ({_SCALED}) WHERE n > 250 AND {_KEPT} GROUP BY ticker"
+ORACLES["pattern_boxes"] = f"""SELECT b.ticker, b.start, b."end", b.low, b.high, CASE WHEN p.breakout THEN p.ts END AS marked FROM (SELECT ticker, min(ts) AS start, max(ts) AS "end", min(low) AS low, max(high) AS high FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS back FROM ({DEEP})) WHERE back <= 60 GROUP BY ticker) b JOIN ({ORACLES['breakout_points']}) p ON p.ticker = b.ticker"""
+
+
+def _unit(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
+_KEY = ("'1'", "ticker", "CAST(date AS VARCHAR)")
+ORACLES["augment"] = f"""WITH x AS (SELECT ticker, date, pid2, c, CAST(floor({_unit(*_KEY, "'roll'")} * 5) AS INT) - 2 AS shift FROM ({_WINDOWED}) WHERE {_KEPT}),
+v AS (SELECT ticker, date, 'original' AS variant, c AS y FROM x
+UNION ALL SELECT ticker, date, 'noise', list_transform(range(0, 60), lambda i: c[i + 1] + 0.01::DOUBLE * sqrt(-2 * ln(1 - {_unit(*_KEY, "'a'", "CAST(i AS VARCHAR)")})) * cos(2 * pi() * {_unit(*_KEY, "'b'", "CAST(i AS VARCHAR)")})) FROM x
+UNION ALL SELECT ticker, date, 'scaled', list_transform(c, lambda a: a * (0.95::DOUBLE + 0.1::DOUBLE * {_unit(*_KEY, "'scale'")})) FROM x
+UNION ALL SELECT ticker, date, 'rolled', list_transform(range(0, 60), lambda i: c[(i - shift + 60) % 60 + 1]) FROM x WHERE pid2 != 0 AND shift != 0)
+SELECT ticker, date, variant, CAST(len(y) AS INT) AS n, round(y[1], 8) AS first, round(y[60], 8) AS last, round(list_sum(y), 4) AS total FROM v"""
+
+
+def _importance() -> str:
+    """Correlations over the columns that the other feature queries give; those over the close are brought back."""
+    from candlework.plans.queries import QUERIES
+
+    parts, columns = [f"({DEEP}) AS b"], {c: c for c in ("open", "high", "low", "close", "volume")} | {"body_to_shadow_ratio": _SHADOW}
+    for name, query in QUERIES.items():
+        if hasattr(query, "plain"):
+            parts.append(f"({ORACLES[name]}) AS {name}")
+            columns |= {c: c for c in query.plain} | {c: f"{c} * close" for c in query.relative}
+    joined = parts[0] + "".join(f" JOIN {p} USING (ticker, ts)" for p in parts[1:])
+    value = lambda c: f"abs(covar_samp(x_{c}, nxt) / nullif(stddev_samp(x_{c}) * stddev_samp(nxt) FILTER (WHERE x_{c} IS NOT NULL), 0)) AS {c}"
+    rules = [("volume", ("volume",)), ("momentum", ("momentum", "roc")), ("moving_average", ("ma",)), ("bollinger", ("bb",)), ("pattern", ("pattern", "higher", "lower")), ("statistical", ("stat", "std", "mean")), ("cyclical", ("sin", "cos"))]
+    case = " ".join(f"WHEN {' OR '.join(f'contains(feature, {p!r})' for p in has)} THEN '{label}'" for label, has in rules)
+    return f"""WITH f AS (SELECT ticker, ts, lead(close) OVER ({W}) / close - 1 AS nxt, {', '.join(f'CAST({x} AS DOUBLE) AS x_{c}' for c, x in columns.items())} FROM {joined}),
+g AS (SELECT * REPLACE ({', '.join(f'CASE WHEN nxt IS NOT NULL THEN x_{c} END AS x_{c}' for c in columns)}) FROM f), wide AS (SELECT {', '.join(map(value, columns))} FROM g)
+SELECT feature, round(importance, 6) AS importance, CASE {case} ELSE 'price' END AS category FROM wide UNPIVOT INCLUDE NULLS (importance FOR feature IN (COLUMNS(*)))"""
+
+
+ORACLES["feature_importance"] = _importance()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
@@ -41,8 +41,47 @@ def bars_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bars(events.select(F.col("event_type").alias("ticker"), F.date_trunc("hour", "ts").alias("ts"), F.col("value").alias("price"), F.lit(1).alias("quantity"), F.col("ts").alias("t"), "event_id"), ("t", "event_id"))
 
 
-def scan(bars: DataFrame, tickers: DataFrame | list[str] | None = None, start=None, end=None) -> DataFrame:
-    """Bars of some tickers (a list, or a table with a ticker column) in a range of time; the filters reach the file scan."""
+def bars_trending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bars_broad brought to share prices and volumes: small noise on a wave of 40 bars, so that screens let some tickers pass."""
+    bars = bars_broad(spark, sf_dir)
+    i = F.row_number().over(Window.partitionBy("ticker").orderBy("ts"))
+    wave = F.abs((i + 7 * F.col("ticker").cast("int")) % 40 - 20).cast("double")
+    calm = {c: F.col(c) / 500.0 + 100.0 + F.col("_wave") for c in ("open", "high", "low", "close")}
+    return bars.withColumn("_wave", wave).withColumns({**calm, "volume": F.col("volume") * 200_000.0}).drop("_wave")
+
+
+# Names of periods and how far they reach back, and of intervals and their length
+PERIODS = {"1d": "1 day", "5d": "5 days", "1mo": "1 month", "3mo": "3 months", "6mo": "6 months", "1y": "1 year", "2y": "2 years", "5y": "5 years", "10y": "10 years"}
+INTERVALS = {"1m": "1 minute", "2m": "2 minutes", "5m": "5 minutes", "15m": "15 minutes", "30m": "30 minutes", "60m": "60 minutes", "90m": "90 minutes", "1h": "1 hour", "5d": "5 days"}
+CALENDAR = {"1d": "day", "1wk": "week", "1mo": "month", "3mo": "quarter"}
+
+
+def resample(bars: DataFrame, interval: str) -> DataFrame:
+    """Longer bars: those of calendar units begin with the unit (weeks on Monday), others at multiples of their length."""
+    if interval in CALENDAR:
+        at = F.date_trunc(CALENDAR[interval], "ts")
+        at = at.cast("date") if bars.schema["ts"].dataType.simpleString() == "date" else at
+    elif interval in INTERVALS:
+        at = F.window(F.col("ts").cast("timestamp"), INTERVALS[interval])["start"]
+    else:
+        raise ValueError(f"unknown interval {interval}")
+    first, last = F.min_by("open", "ts"), F.max_by("close", "ts")
+    rows = bars.withColumn("_at", at).groupBy("ticker", "_at").agg(first.alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), last.alias("close"), F.sum("volume").alias("volume"))
+    return rows.withColumnRenamed("_at", "ts")
+
+
+def scan(bars: DataFrame, tickers: DataFrame | list[str] | None = None, start=None, end=None, period: str | None = None, interval: str | None = None) -> DataFrame:
+    """Bars of some tickers (a list, or a table with a ticker column) in a range of time; the filters reach the file scan.
+
+    A period (of PERIODS, ytd or max) reaches back from end, or from the latest bar of all; an interval makes longer bars.
+    """
+    if period is not None and period != "max":
+        last = F.lit(end).cast("timestamp") if end is not None else bars.agg(F.max("ts").cast("timestamp").alias("last")).scalar()
+        if period != "ytd" and period not in PERIODS:
+            raise ValueError(f"unknown period {period}")
+        bars = bars.where(F.col("ts") >= (F.date_trunc("year", last) if period == "ytd" else last - F.expr(f"INTERVAL {PERIODS[period]}")))
+    if interval is not None:
+        return resample(scan(bars, tickers, start, end), interval)
     if start is not None:
         bars = bars.where(F.col("ts") >= F.lit(start))
     if end is not None:
@@ -59,6 +98,21 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(clean_ticker(F.col("s_suppkey").cast("string")).alias("ticker"), F.trim("s_name").alias("name"), F.trim("r_name").alias("sector"), F.trim("n_name").alias("industry"))
 
 
+# Columns of the published table of constituents and their names here
+DETAILS = {"Symbol": "ticker", "Security": "name", "GICS Sector": "sector", "GICS Sub-Industry": "industry", "CIK": "cik", "Founded": "founded", "Date added": "date_added", "Headquarters Location": "headquarters"}
+
+
+def detailed_universe(rows: DataFrame) -> DataFrame:
+    """A constituents table with our names for the columns it has; others keep theirs, without blanks around them."""
+    rows = rows.toDF(*[DETAILS.get(c.strip(), c.strip()) for c in rows.columns])
+    return rows.withColumn("ticker", clean_ticker(F.col("ticker"))) if "ticker" in rows.columns else rows
+
+
+def first_tickers(universe_: DataFrame, n: int) -> DataFrame:
+    """The first n tickers in order of ticker: a top-k plan."""
+    return universe_.orderBy("ticker").limit(n)
+
+
 def clean_ticker(c):
     return F.replace(F.trim(c), F.lit("."), F.lit("-"))
 

@@ -21,6 +21,11 @@ def bars_are_fresh(age: float, interval: str = "1d") -> bool:
     return age < (24 if interval.endswith(("d", "wk", "mo")) else 1)
 
 
+def usable(age: float, interval: str = "1d", failed: bool = False) -> bool:
+    """Whether a cached file is served: a fresh one, and any there is if fetching has failed."""
+    return bars_are_fresh(age, interval) or (failed and age != float("inf"))
+
+
 def key(ticker: str, interval: str, *span: str) -> str:
     """Distinct for distinct tickers: dashes stay."""
     return "_".join([ticker, interval, *span])
