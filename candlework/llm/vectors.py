@@ -2,14 +2,17 @@
 
 Index. Coarse centroids (k-means) split the unit vectors into lists; in a list a vector is kept as the codes of its
 residual in subspaces of a few dimensions, with the exact length of what the codes miss, and with the vector itself.
-Centroids and codebooks are fitted on SAMPLE vectors at most; every vector is indexed.
+Centroids and codebooks are fitted on SAMPLE vectors at most; every vector is indexed. Lists grow with the root of the
+vectors' number until the sample ends that. Vectors of different lengths are never linked; lengths up to the same power
+of two share an index, with zeros after the shorter ones, so there are few indexes whatever lengths occur.
 
 Search. All vectors are queries. If a vector within distance r of a query lies in another list than the query's own, it
-is beyond the plane halfway between the two centroids, so the query is at most r away from that plane; every list whose
-plane is within r is probed, however many they are, which loses nothing whatever way the vectors are spread. Where they
-are spread alike in all of many directions, that is nearly every list. In a list, distances to the codes are one matrix
-product with what the codes stand for; what is too far by more than its codes miss is dropped, which loses nothing, and
-the rest is ranked by exact cosine in double precision.
+is beyond the plane halfway between the two centroids, so the query is at most r away from that plane. How far away links
+really put queries is measured: the links of GAUGE vectors to all rows are found by brute force, one pass over the table,
+and every list whose plane is within MARGIN times the largest distance seen is probed. If they have too few links to
+tell, r itself is used, which loses nothing. In a list, distances to the codes are one matrix product with what the
+codes stand for; what is too far by more than its codes miss is dropped, which loses nothing, and the rest is ranked by
+exact cosine in double precision.
 
 Plan. Equal vectors are one class first. Lists are packed into shards of bounded size, a larger list into several; a
 query goes once to each shard that holds a list it probes, and a shard's queries are split when they are many. A task
@@ -31,14 +34,19 @@ from candlework.llm._components import components
 from candlework.llm._store import Scratch
 
 #: Vectors, and numbers in them, that centroids and codebooks are fitted on at most.
-SAMPLE, SAMPLE_NUMBERS = 16_384, 1 << 21
+SAMPLE, SAMPLE_NUMBERS = 131_072, 1 << 23
+#: Vectors of a list in the sample, on average, at least.
+A_LIST = 16
+#: Vectors whose links are found by brute force, links that tell enough, and what is added to what they tell.
+GAUGE, ENOUGH, MARGIN = 1_024, 100, 1.3
 #: Vectors of a shard, and queries to it, that meet in one task at most, on average.
-SHARD, QUERIES = 8_192, 16_384
+SHARD, QUERIES = 2_048, 4_096
 SUBSPACE, CODES = 4, 256
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 0) -> np.ndarray:
     rng = np.random.default_rng(seed)
+    x = x[rng.choice(len(x), 64 * k, replace=False)] if len(x) > 64 * k else x
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
         near = _nearest(x, centres)
@@ -54,7 +62,7 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.concatenate([_distances(x[i : i + 4096], centres).argmin(1) for i in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
+    return np.concatenate([_distances(x[i : i + 1024], centres).argmin(1) for i in range(0, len(x), 1024)] or [np.zeros(0, np.int64)])
 
 
 class Index:
@@ -75,12 +83,16 @@ class Index:
         missed = residual - np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], 1)
         return near, codes, np.sqrt((missed * missed).sum(1))
 
-    def probes(self, x: np.ndarray, radius: float) -> np.ndarray:
-        """Which lists (columns) may hold a vector within radius of each query (rows)."""
+    def planes(self, x: np.ndarray) -> np.ndarray:
+        """How far each query (rows) is from the plane between its own list and each list (columns); 0 for its own."""
         d = _distances(x, self.centres)
         near = d.argmin(1)
-        apart = np.sqrt(_distances(self.centres, self.centres))[near]
-        return d - d[np.arange(len(x)), near][:, None] <= 2 * apart * radius + 1e-6
+        apart = np.sqrt(_distances(self.centres[near], self.centres))
+        return np.where(apart > 0, (d - d[np.arange(len(x)), near][:, None]) / np.maximum(2 * apart, 1e-12), 0)
+
+    def probes(self, x: np.ndarray, width: float) -> np.ndarray:
+        """Which lists (columns) are probed for each query (rows)."""
+        return self.planes(x) <= width + 1e-6
 
     def decoded(self, near: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """What lists and codes stand for."""
@@ -120,8 +132,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _matrix(blobs, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.float64).reshape(-1, dim)
+def _matrix(blobs, width: int) -> np.ndarray:
+    """Vectors as rows, with zeros after those that are shorter."""
+    blobs = [bytes(x) for x in blobs]
+    return np.frombuffer(b"".join(x.ljust(8 * width, b"\0") for x in blobs), np.float64).reshape(-1, width)
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """x by a power of two that brings its largest component to between a half and one; cosines stay the same bits."""
+    return np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -146,14 +165,13 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 def near_duplicate_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept.
 
-    Vectors are linked if their cosine, in double precision, is least or more. n_links counts the other rows linked
-    directly, component_id is the smallest id that links lead to, kept is whether that is the row's own. A vector that is
-    null, zero, has null or non-finite components, or isn't of the table's most frequent length links with nothing. Rows
-    that repeat a vector are linked to each other; a null id is never the smallest, and a row with one isn't kept.
+    Vectors of the same length are linked if their cosine, in double precision, is least or more, however large or small
+    their components are. n_links counts the other rows linked directly, component_id is the smallest id that links lead
+    to, kept is whether that is the row's own. A vector that is null, empty or zero, or has null or non-finite
+    components, links with nothing. Rows that repeat a vector are linked to each other; a null id is never the smallest,
+    and a row with one isn't kept.
     """
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "vectors")
-    radius = math.sqrt(2 - 2 * least) + 1e-7
+    scratch = Scratch(vectors.sparkSession, "vectors")
 
     def read(batches):
         for batch in batches:
@@ -161,41 +179,64 @@ def near_duplicate_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedd
             ok, k1, k2, dims, body = [], [], [], [], []
             for row in rows:
                 x = np.array([], np.float64) if row is None or None in row else np.array(row, np.float64)
-                good = len(x) > 0 and bool(np.isfinite(x).all()) and bool(x.any()) and bool(np.isfinite((x * x).sum())) and (x * x).sum() > 0
-                raw = (x + 0.0).tobytes() if good else b""
-                h = np.frombuffer(hashlib.blake2b(raw, digest_size=16).digest(), np.int64)
-                for to, value in zip((ok, k1, k2, dims, body), (good, h[0], h[1], len(x), raw)):
+                good = len(x) > 0 and bool(np.isfinite(x).all()) and bool(x.any())
+                h = np.frombuffer(hashlib.blake2b((x + 0.0).tobytes() if good else b"", digest_size=16).digest(), np.int64)
+                for to, value in zip((ok, k1, k2, dims, body), (good, h[0], h[1], len(x), _scaled(x + 0.0).tobytes() if good else b"")):
                     to.append(value)
             yield pa.RecordBatch.from_arrays([ids, pa.array(ok, pa.bool_()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(dims, pa.int32()), pa.array(body, pa.binary())], ["id", "ok", "k1", "k2", "dim", "body"])
 
     plain = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("e"))
-    every = scratch.keep(plain.mapInArrow(read, "id long, ok boolean, k1 long, k2 long, dim int, body binary"), "read")
-    lengths = every.where("ok").groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    none = every.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), "ok", "dim")
-    named = lambda frame: frame.select(F.col("id").alias(vec_id), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
-    if lengths is None:
-        return named(none)
-    dim = lengths["dim"]
-    good = F.col("ok") & (F.col("dim") == dim)
-
-    # Classes of equal vectors, known by a digest's first half and carried as cls.
-    classes = scratch.keep(every.where(good).groupBy("k1", "k2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"), F.min("body").alias("body")), "classes")
-    classes = scratch.keep(classes.withColumn("cls", F.xxhash64("k1", "k2")), "named-classes")
+    every = plain.mapInArrow(read, "id long, ok boolean, k1 long, k2 long, dim int, body binary")
+    width = F.lit(1).cast("long") * F.pow(F.lit(2.0), F.ceil(F.log2(F.col("dim").cast("double")))).cast("long")
+    every = scratch.keep(every.withColumn("width", F.when(F.col("ok"), width)), "read")
+    out = every.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    for (w,) in sorted(every.where("ok").select("width").distinct().collect()):  # powers of two
+        out = out.unionAll(_of_width(scratch, every.where(F.col("width") == w), int(w), least))
+    return out.select(F.col("id").alias(vec_id), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _of_width(scratch: Scratch, every: DataFrame, dim: int, least: float) -> DataFrame:
+    """(id, n_links, component_id) of rows with valid vectors of dim components at most, and more than half as many."""
+    spark = every.sparkSession
+    name = lambda x: f"{x}-{dim}"
+    radius = math.sqrt(2 - 2 * least) + 1e-7
+
+    # Classes of equal vectors, known by a digest of 128 bits and carried as cls.
+    classes = scratch.keep(every.groupBy("k1", "k2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"), F.min("dim").alias("dim"), F.min("body").alias("body")), name("classes"))
+    classes = scratch.keep(classes.withColumn("cls", F.xxhash64("k1", "k2")), name("named-classes"))
     n = classes.count()
-    some = classes.orderBy("cls").limit(max(1, min(SAMPLE, SAMPLE_NUMBERS // dim))).select("body").collect()
-    sample = _unit(_matrix([bytes(r[0]) for r in some], dim))
-    index = Index(sample, max(1, min(int(2 * math.sqrt(n)), len(sample) // 8 or 1)))
-    shared = spark.sparkContext.broadcast(index)  # bounded by the sample
+    most = max(1, min(SAMPLE, SAMPLE_NUMBERS // dim, 4 * A_LIST * math.isqrt(n)))
+    sample = _unit(_matrix([r[0] for r in classes.orderBy("cls").limit(most).select("body").collect()], dim))
+    index = Index(sample, max(1, min(2 * math.isqrt(n), len(sample) // A_LIST)))
+    asking = classes.orderBy(F.desc("cls")).limit(min(GAUGE, SAMPLE_NUMBERS // dim + 1)).select("cls", "dim", "body").collect()
+    queries = np.array([r[0] for r in asking], np.int64), np.array([r[1] for r in asking], np.int64), _unit(_matrix([r[2] for r in asking], dim))
+    shared = spark.sparkContext.broadcast((index, queries))  # bounded by the sample
 
     def put(batches):
         for batch in batches:
-            x = _matrix(batch.column(3).to_pylist(), dim)
-            if not len(x):
-                continue
-            near, codes, missed = shared.value.place(_unit(x))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(near, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(missed)], ["cls", "least", "size", "body", "list", "codes", "missed"])
+            for low in range(0, batch.num_rows, 2048):
+                part = batch.slice(low, 2048)
+                near, codes, missed = shared.value[0].place(_unit(_matrix(part.column(4).to_pylist(), dim)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(missed)], ["cls", "least", "size", "dim", "body", "list", "codes", "missed"])
+
+    indexed = classes.select("cls", "least", "size", "dim", "body").mapInArrow(put, "cls long, least long, size long, dim int, body binary, list int, codes binary, missed double")
+    indexed = scratch.keep(indexed, name("index"))
+
+    def gauge(batches):
+        index, (own, dims, q) = shared.value
+        planes = index.planes(q)
+        links, far = 0, 0.0
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                cls, dim_of, lists, raw = (batch.column(i).slice(low, 512) for i in range(4))
+                x = _unit(_matrix(raw.to_pylist(), dim))
+                a, b = np.nonzero((q @ x.T >= least) & (own[:, None] != cls.to_numpy()) & (dims[:, None] == dim_of.to_numpy()))
+                links += len(a)
+                far = max(far, planes[a, lists.to_numpy()[b]].max(initial=0.0))
+        yield pa.RecordBatch.from_arrays([pa.array([links]), pa.array([far])], ["links", "far"])
 
-    indexed = scratch.keep(classes.select("cls", "least", "size", "body").mapInArrow(put, "cls long, least long, size long, body binary, list int, codes binary, missed double"), "index")
+    seen = indexed.select("cls", "dim", "list", "body").mapInArrow(gauge, "links long, far double").agg(F.sum("links"), F.max("far")).first()
+    width = min(radius, MARGIN * seen[1] + 0.02 * radius) if seen[0] is not None and seen[0] >= ENOUGH else radius
 
     in_list = {r[0]: r[1] for r in indexed.groupBy("list").count().collect()}  # a row for each list
     shards = Shards(index, in_list)
@@ -206,7 +247,7 @@ def near_duplicate_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedd
         for batch in batches:
             raw = batch.column(0).to_pylist()
             for i in range(0, len(raw), 1024):
-                total += parts.value.probed(shared.value.probes(_unit(_matrix(raw[i : i + 1024], dim)), radius)).sum(0)
+                total += parts.value.probed(shared.value[0].probes(_unit(_matrix(raw[i : i + 1024], dim)), width)).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["shard", "n"])
 
     asked_of = {r[0]: r[1] for r in indexed.select("body").mapInArrow(count_probes, "shard int, n long").groupBy("shard").agg(F.sum("n")).collect()}
@@ -214,18 +255,18 @@ def near_duplicate_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedd
 
     def ask(batches):
         for batch in batches:
-            ids, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            ids, dims, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int32), batch.column(2).to_pylist()
             for i in range(0, len(ids), 1024):
                 x, own, out = _matrix(raw[i : i + 1024], dim), ids[i : i + 1024], []
                 part = (own.view(np.uint64) >> np.uint64(17)).astype(np.int64)
-                probed = parts.value.probed(shared.value.probes(_unit(x), radius))
+                probed = parts.value.probed(shared.value[0].probes(_unit(x), width))
                 for k in np.flatnonzero(probed.any(0)).tolist():
                     for q in range(times.value[k]):
                         mine = np.flatnonzero(probed[:, k] & (part % times.value[k] == q))
                         if len(mine):
-                            out.append((k, q, own[mine].tobytes(), x[mine].tobytes()))
-                columns = list(zip(*out)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["shard", "q", "ids", "bodies"])
+                            out.append((k, q, own[mine].tobytes(), dims[i : i + 1024][mine].tobytes(), x[mine].tobytes()))
+                columns = list(zip(*out)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "q", "ids", "dims", "bodies"])
 
     def offer(batches):
         for batch in batches:
@@ -236,19 +277,20 @@ def near_duplicate_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedd
             for q in range(int(copies.max(initial=0))):
                 some = table.take(pa.array(np.flatnonzero(copies > q)))
                 some = some.append_column("q", pa.array(np.full(some.num_rows, q), pa.int32()))
-                yield from some.select(["shard", "q", "list", "cls", "size", "body", "codes", "missed"]).combine_chunks().to_batches()
+                yield from some.select(["shard", "q", "list", "cls", "size", "dim", "body", "codes", "missed"]).combine_chunks().to_batches()
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "links")})
         ids = np.frombuffer(b"".join(left.column("ids").to_pylist()), np.int64)
-        bodies = _matrix(left.column("bodies").to_pylist(), dim)
+        dims = np.frombuffer(b"".join(left.column("dims").to_pylist()), np.int32)
+        bodies = np.frombuffer(b"".join(left.column("bodies").to_pylist()), np.float64).reshape(-1, dim)
         right = right.sort_by("list")
-        lists, cls, size = (right.column(c).to_numpy() for c in ("list", "cls", "size"))
+        lists, cls, size, dim_of = (right.column(c).to_numpy() for c in ("list", "cls", "size", "dim"))
         x = _matrix(right.column("body").to_pylist(), dim)
         norms = np.sqrt((x * x).sum(1))
         codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(len(cls), -1)
-        coded = shared.value.decoded(lists, codes)
+        coded = shared.value[0].decoded(lists, codes)
         # The squared distance to a code is 1 + |code|^2 - 2 query.code, so a product under this is too far.
         under = (1 + (coded * coded).sum(1) - (radius + right.column("missed").to_numpy() + 1e-7) ** 2) / 2 - 1e-9
         here = [(k, np.searchsorted(lists, k), np.searchsorted(lists, k, "right")) for k in np.unique(lists).tolist()]
@@ -256,14 +298,14 @@ def near_duplicate_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedd
         for i in range(0, len(ids), 1024):
             q = bodies[i : i + 1024]
             unit, length, own = _unit(q), np.sqrt((q * q).sum(1)), ids[i : i + 1024]
-            probed = shared.value.probes(unit, radius)
+            probed = shared.value[0].probes(unit, width)
             for k, low, high in here:
                 which = np.flatnonzero(probed[:, k])
                 for w in np.array_split(which, max(1, math.ceil(len(which) * (high - low) / (1 << 20)))):
                     if not len(w):
                         continue
                     a, b = np.nonzero(unit[w] @ coded[low:high].T >= under[low:high])
-                    other = own[w[a]] != cls[low + b]
+                    other = (own[w[a]] != cls[low + b]) & (dims[i + w[a]] == dim_of[low + b])
                     a, b = a[other], b[other]
                     for j in range(0, len(a), 65536):
                         u, v = w[a[j : j + 65536]], low + b[j : j + 65536]
@@ -277,15 +319,15 @@ def near_duplicate_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedd
         b = np.concatenate((ids[some], [p[1] for p in tree])).astype(np.int64)
         return pa.table({"a": a, "b": b, "links": np.concatenate((links[some], np.zeros(len(tree), np.int64)))})
 
-    asked = indexed.select("cls", "body").mapInArrow(ask, "shard int, q int, ids binary, bodies binary")
-    offered = indexed.select("list", "cls", "size", "body", "codes", "missed").mapInArrow(offer, "shard int, q int, list int, cls long, size long, body binary, codes binary, missed double")
+    asked = indexed.select("cls", "dim", "body").mapInArrow(ask, "shard int, q int, ids binary, dims binary, bodies binary")
+    offered = indexed.select("list", "cls", "size", "dim", "body", "codes", "missed").mapInArrow(offer, "shard int, q int, list int, cls long, size long, dim int, body binary, codes binary, missed double")
     keys = ["shard", "q"]
-    found = scratch.keep(asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(meet, "a long, b long, links long"), "links")
-    roots = components(scratch, found.where("links = 0").select("a", "b"), "vectors")
+    found = scratch.keep(asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(meet, "a long, b long, links long"), name("links"))
+    roots = components(scratch, found.where("links = 0").select("a", "b"), name("vectors"))
     links = found.where("links > 0").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     whole = indexed.select("cls", "least", "size").join(links, "cls", "left").join(roots.withColumnRenamed("v", "cls"), "cls", "left")
-    whole = scratch.keep(whole.select("cls", "least", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "cls").alias("root")), "whole")
-    tops = scratch.keep(whole.groupBy("root").agg(F.min("least").alias("component_id")), "tops")
-    whole = scratch.keep(whole.join(tops, "root").select("cls", "n_links", "component_id"), "named")
-    members = every.where(good).withColumn("cls", F.xxhash64("k1", "k2")).select("id", "cls").join(whole, "cls").select("id", "n_links", "component_id")
-    return named(members.unionAll(none.where(~good).select("id", "n_links", "component_id")))
+    whole = scratch.keep(whole.select("cls", "least", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "cls").alias("root")), name("whole"))
+    tops = scratch.keep(whole.groupBy("root").agg(F.min("least").alias("component_id")), name("tops"))
+    whole = scratch.keep(whole.join(tops, "root").select("cls", "n_links", "component_id"), name("named"))
+    scratch.drop(*map(name, ("classes", "named-classes", "index", "links", "whole", "tops")))
+    return every.withColumn("cls", F.xxhash64("k1", "k2")).select("id", "cls").join(whole, "cls").select("id", "n_links", "component_id")
