@@ -28,13 +28,13 @@ SPELLINGS = {
 }
 _MARK = r"[ \t\r#*=/;>-]*+"
 #: Lines that a licence's header may have: a title, a copyright statement, the rights line.
-_TITLE = r"(?:the )?(?:mit|isc|expat|(?:simplified |revised |modified |new |zero[- ]clause |[23][- ]clause )*bsd(?:[- ](?:zero|[023])(?:[- ]clause)?)?)(?: no attribution)?(?: \"[a-z]+\"(?: or \"[a-z]+\")*)? licen[cs]e(?: \([a-z0-9 -]+\))?[.:]?"
+_TITLE = r"(?:the )?(?:mit|isc|expat|zlib|boost software|(?:simplified |revised |modified |new |zero[- ]clause |[23][- ]clause )*bsd(?:[- ](?:zero|[023])(?:[- ]clause)?)?)(?: no attribution)?(?: \"[a-z]+\"(?: or \"[a-z]+\")*)? licen[cs]e(?: \([a-z0-9 -]+\)| - version 1\.0(?: - [a-z0-9 ,]+)?)?[.:]?"
 _HOLDER = r"(?:copyright(?![ \t]+(?:notice|holder|owner|licen|law|and|or|the|in|on|is|of)s?\b)\b|\(c\)|©)[^\n]*"
 _RIGHTS = r"all rights reserved\.?"
 _HEADER = rf"\A(?:\s*+{_MARK}(?:{_TITLE}|{_HOLDER}|{_RIGHTS}){_MARK}(?=\n|\z)){{1,200}}(?=[\x00-\x2F\x3A-\x60\x7B-\x7F]*+[^\x00-\x2F\x3A-\x60\x7B-\x7F])"
 #: A copyright statement or the rights line anywhere; a wrapped line that only begins with the word is none.
 _STATEMENT = rf"(^|\n){_MARK}(?:(?:copyright[ \t:,]*(?:\(c\)|©|[0-9]{{4}}|[<\[{{{{]?(?:year|yyyy)\b)|\(c\)[ \t]*[0-9]{{4}}|©)[^\n]*|{_RIGHTS}{_MARK}(?=\n|\z))"
-#: Largest table of known digests that is sent to every executor.
+#: Largest table of known digests that is sent to every executor, and most notices.
 MOST_KNOWN = 10_000
 
 
@@ -75,18 +75,25 @@ def _telling(texts: list[str]) -> list[str] | None:
     return sorted(out)
 
 
-def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", licences: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", licences: dict[str, str] | DataFrame | None = None, notices: dict[str, str] | None = None) -> DataFrame:
     """Per row: doc_id, text_digest, licence_id (of the whole text, or null), notice_ids (of its lines, sorted), n_notices.
 
+    Licences are the known texts by their ids: those of this package, a dictionary, or a table (licence_id, text) of any
+    size, whose digests Spark joins by shuffling both sides if they are many. Notices are MOST_KNOWN at most.
     A null text has a null digest and no notices; a text without letters or digits has no licence. Ids may be null or
     repeat: every row has its result.
     """
     spark = docs.sparkSession
-    licences = [*LICENCES.items(), *LONG_LICENCES.items()] if licences is None else list(licences.items())
     notices = [*NOTICES.items(), *MORE_NOTICES] if notices is None else list(notices.items())
-    for table in (licences, notices):
-        if len(table) > MOST_KNOWN:
-            raise ValueError(f"at most {MOST_KNOWN} known texts can be sent to every executor")
+    if len(notices) > MOST_KNOWN:
+        raise ValueError(f"at most {MOST_KNOWN} notices can be sent to every executor")
+    if isinstance(licences, DataFrame):
+        texts = licences.select("licence_id", F.col("text").alias("t"))
+        whole = texts.groupBy(digest(F.col("t")).alias("licence_digest")).agg(F.min("licence_id").alias("licence_id"))
+    else:
+        listed = [*LICENCES.items(), *LONG_LICENCES.items()] if licences is None else list(licences.items())
+        whole = known(spark, listed)
+        whole = F.broadcast(whole) if len(listed) <= MOST_KNOWN else whole
     lines = {r.licence_digest: r.licence_id for r in known(spark, notices).collect()} if notices else {}
     by_line = F.create_map(*[F.lit(x) for pair in lines.items() for x in pair]) if lines else F.create_map().cast("map<string,string>")
     t = F.col(text).cast("string")
@@ -95,5 +102,5 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", licence
     likely = F.split(t, "\n") if words is None else F.filter(F.split(t, "\n"), lambda x: F.translate(x, _UPPER, _LOWER).rlike("|".join(words) or "(?!)"))
     found = F.array_sort(F.array_distinct(F.filter(F.transform(likely, lambda x: F.try_element_at(by_line, digest(x))), lambda x: x.isNotNull())))
     one = docs.select(F.col(doc_id), F.nullif(digest(t), F.sha2(F.lit(""), 256)).alias("text_digest"), F.coalesce(found, F.array().cast("array<string>")).alias("notice_ids"))
-    out = one.join(F.broadcast(known(spark, licences)), F.col("text_digest") == F.col("licence_digest"), "left")
+    out = one.join(whole, F.col("text_digest") == F.col("licence_digest"), "left")
     return out.select(doc_id, "text_digest", "licence_id", F.array_join("notice_ids", ",").alias("notice_ids"), F.size("notice_ids").cast("long").alias("n_notices"))
