@@ -88,20 +88,30 @@ def token_rows(docs, end=2):
     return out
 
 
-def language_model(docs, held, mu):
-    """(n_tokens, n_known, N, base, score) of each text."""
-    tokens = [[*blank_words(t), None] for t in docs]
-    one, two = Counter(), Counter()
-    for x, h in zip(tokens, held):
+def language_model(docs, held, mus):
+    """(n_tokens, n_known, N, base, score) of each text, and a function that gives P(token | history)."""
+    texts = [[*blank_words(t), None] for t in docs]
+    counts = Counter()
+    for x, h in zip(texts, held):
         if not h:
-            one.update(x)
-            two.update(zip([None, *x[:-1]], x))
-    n, v, out = sum(one.values()), len(one), []
-    for x in tokens:
-        p = [(one[w] + 0.1) / (n + 0.1 * (v + 1)) for w in x]
-        q = [(two[h, w] + mu * u) / (one[h] + mu) for h, w, u in zip([None, *x[:-1]], x, p)]
-        out.append((len(x), sum(one[w] > 0 for w in x), n, sum(map(math.log10, p)), sum(map(math.log10, q))))
-    return out
+            for k in range(1, len(mus) + 2):
+                padded = x if k == 1 else [None, *x]
+                counts.update(tuple(padded[i : i + k]) for i in range(len(padded) - k + 1))
+    singles = {g: c for g, c in counts.items() if len(g) == 1}
+    n, v = sum(singles.values()), len(singles)
+
+    def p(word, history):
+        if not history:
+            return (singles.get((word,), 0) + 0.1) / (n + 0.1 * (v + 1))
+        mu, lower = mus[len(history) - 1], p(word, history[1:])
+        return (counts[(*history, word)] + mu * lower) / (counts[history] + mu)
+
+    out = []
+    for x in texts:
+        base = sum(math.log10(p(w, ())) for w in x)
+        own = sum(math.log10(p(w, tuple([None, *x[:i]][-len(mus) :]))) for i, w in enumerate(x))
+        out.append((len(x), sum(singles.get((w,), 0) > 0 for w in x), n, base, own))
+    return out, p
 
 
 def mixing(rows):
