@@ -4,17 +4,20 @@ Words are summed for each source; targets follow from weights; a source's repeti
 document is emitted floor(rate) times, and once more if a hash of its id, seeded and uniform on [0, 1), is below the
 rest. So the result doesn't depend on partitions or reruns, and no row needs to see another.
 
-Plan: one aggregation by source (partial sums inside tasks, so a hot source is one row a task), gathered on the driver,
-and, reading the texts a second time, a join with the sources' rates, which are one row a source.
+Plan: one aggregation by source (partial sums inside tasks, so a hot source is one row a task) makes a written table of
+sources, however many there are. Their places in code point order come from a range partition and the partitions' counts;
+the level of the targets from sums over the table, round by round as the excess is reshared. The driver sees a row for
+each partition and two sums a round. Texts are read a second time to join their source's rate; Spark broadcasts the
+sources where they are few and splits hot ones where it has to shuffle.
 """
 
 from __future__ import annotations
 
-from fractions import Fraction
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candlework.llm._store import Scratch
+
 #: Weights of sources in code point order, repeating; a source is repeated REPEAT times at most.
 WEIGHTS = (5, 2, 1)
 REPEAT = 3
@@ -26,22 +29,42 @@ def size(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, repeat: int = REPEAT) -> list[tuple[str | None, int, float]]:
-    """(source, size, target): shares of all words by weight, each at most repeat times the source's words.
+def targets(docs: DataFrame, text: str = "text", source: str = "source", weights=WEIGHTS, repeat: int = REPEAT) -> DataFrame:
+    """(of, n, target): of each source its words and its target.
 
-    What is over a limit goes to the others by weight until none is above; so there is one level such that each target is
-    the smaller of its limit and weight times level.
+    Targets share all words by weight, each at most repeat times the source's words. What is over a limit goes to the
+    others by weight, round by round until none is above; so there is one level such that each target is the smaller of
+    its limit and weight times level.
     """
-    order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
-    weighed = [(name, n, weights[i % len(weights)]) for i, (name, n) in enumerate(order)]
-    left, open_weight = sum(n for _, n, _ in weighed), sum(w for _, _, w in weighed)
-    level = Fraction(0)
-    for _, n, w in sorted(weighed, key=lambda s: Fraction(s[1], s[2])):
-        level = Fraction(left, open_weight)
-        if repeat * n >= w * level:
+    scratch = Scratch(docs.sparkSession, "mixing")
+    sums = docs.select(F.col(source).cast("string").alias("of"), size(text).alias("n")).groupBy("of").agg(F.sum("n").alias("n"))
+    sums = scratch.keep(sums, "sums")
+    # Places in order: the partition's number stands above bit 33, the place inside it below.
+    ordered = sums.repartitionByRange(F.col("of").asc_nulls_last()).sortWithinPartitions(F.col("of").asc_nulls_last())
+    ordered = scratch.keep(ordered.withColumn("at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("at", 33).cast("int")
+    counts = sorted(ordered.groupBy(part.alias("part")).count().collect())  # a row for each partition
+    before, base = 0, []
+    for number, n in counts:
+        base.append((number, before))
+        before += n
+    bases = docs.sparkSession.createDataFrame(base or [(0, 0)], "part int, before long")
+    place = F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)
+    weight = F.array(*[F.lit(w) for w in weights])[(place % len(weights)).cast("int")]
+    weighed = scratch.keep(ordered.withColumn("part", part).join(F.broadcast(bases), "part").select("of", "n", weight.cast("long").alias("w")), "weighed")
+    words, open_weight = weighed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    exact = lambda c, k: c.cast("decimal(38,0)") * F.lit(k).cast("decimal(19,0)")
+    rest, free = words, open_weight
+    while free:
+        over = exact(F.col("n") * repeat, free) <= exact(F.col("w"), rest)
+        stopped, by = weighed.where(over).agg(F.coalesce(F.sum(F.col("n") * repeat), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+        if (words - stopped, open_weight - by) == (rest, free):
             break
-        left, open_weight = left - repeat * n, open_weight - w
-    return [(name, n, float(min(Fraction(repeat * n), w * level))) for name, n, w in weighed]
+        rest, free = words - stopped, open_weight - by
+    limit = (F.col("n") * repeat).cast("double")
+    share = (F.col("w") * F.lit(rest)).cast("double") / F.lit(float(free)) if free else limit
+    over = exact(F.col("n") * repeat, free) <= exact(F.col("w"), rest)
+    return weighed.select("of", "n", F.when(over, limit).otherwise(share).alias("target"))
 
 
 def draw(doc_id: str = "doc_id", seed: str = SEED) -> Column:
@@ -57,8 +80,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     id get the same draw. A source without words has target 0 and copies 0.
     """
     one = docs.select(F.col(doc_id), F.col(source).cast("string").alias("mix_source"), size(text).alias("size"))
-    sums = one.groupBy("mix_source").agg(F.sum("size").alias("n")).collect()  # a row for each source
-    table = docs.sparkSession.createDataFrame(targets([(r[0], r[1]) for r in sums], weights, repeat), "of string, source_size long, target double")
+    table = targets(docs, text, source, weights, repeat).withColumnRenamed("n", "source_size")
     both = one.join(table, one.mix_source.eqNullSafe(table.of))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     copies = F.floor(rate) + F.when(draw(doc_id, seed) < rate - F.floor(rate), 1).otherwise(0)
@@ -71,10 +93,9 @@ def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
 
     Nulls and repeated rows are drawn as in mix.
     """
-    sums = docs.select(F.col(source).cast("string").alias("s"), size(text).alias("n")).groupBy("s").agg(F.sum("n")).collect()
     weights, repeat, seed = how.get("weights", WEIGHTS), how.get("repeat", REPEAT), how.get("seed", SEED)
-    rates = [(name, goal / n if n else 0.0) for name, n, goal in targets([(r[0], r[1]) for r in sums], weights, repeat)]
-    table = docs.sparkSession.createDataFrame(rates, "of string, rate double")
+    rate = F.when(F.col("n") > 0, F.col("target") / F.col("n")).otherwise(0.0)
+    table = targets(docs, text, source, weights, repeat).select("of", rate.alias("rate"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(source).cast("string").alias("source"), draw(doc_id, seed).alias("draw"))
     both = row.join(table, F.col("source").eqNullSafe(F.col("of")))
     copies = (F.floor("rate") + F.when(F.col("draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
