@@ -5,7 +5,8 @@ of ids before it in its part, its own count, and its ids as a list. Row groups a
 rows and have column indexes, so a reader finds a document by its id's statistics and reads only its pages; counts can be
 read without ids. Ids are dictionary encoded, the ascending columns delta encoded (version 2 pages).
 
-Plan: one range shuffle of the texts by id, a sort inside partitions, encoding in the task that writes. Starts are
+Plan: one range shuffle of the texts by id, and of equal ids by the beginning of the text, into as many parts as their
+bytes need, a sort inside partitions, encoding in the task that writes. Starts are
 prefix sums in two steps: inside a part when it is written, and over parts from one sum a part when it is read.
 """
 
@@ -33,6 +34,8 @@ LAYOUT = {
 }
 
 
+#: Bytes of text of a file, on average, and characters of it that part rows with one id.
+PART_BYTES, LEAD = 32 << 20, 64
 #: Files whose starts (16 bytes each) are sent to every executor at most.
 MOST_PARTS = 200_000
 
@@ -61,7 +64,8 @@ def write_token_files(docs: DataFrame, path: str, *, doc_id: str = "doc_id", tex
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id), F.col(text).cast("string").alias("_text"))
-    ranged = rows.repartitionByRange(F.col(doc_id)).sortWithinPartitions(doc_id, "_text")
+    whole = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    ranged = rows.repartitionByRange(max(1, -(-whole // PART_BYTES)), F.col(doc_id), F.left("_text", F.lit(LEAD))).sortWithinPartitions(doc_id, "_text")
     ranged.mapInArrow(encode, f"`{doc_id}` {kind}, part int, part_start long, n_tokens long, ids array<int>").write.options(**LAYOUT).mode("overwrite").parquet(path)
 
 
