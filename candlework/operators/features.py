@@ -144,14 +144,17 @@ def pattern(bars: DataFrame) -> DataFrame:
     return frame.drop("_rn", *[f"{n}_{p}" for n in ("_at_top", "_at_bottom") for p in (20, 50)])
 
 
-def technical(bars: DataFrame) -> DataFrame:
+def technical(bars: DataFrame, recursive: bool = True) -> DataFrame:
+    """Without the recursive ones, the exponential means and what is made of them, the plan has no Python."""
     c = F.col("close")
     spans = (5, 10, 20, 50, 100, 200)
-    frame = recursive_means(bars, {f"ema_{p}": ("close", span(p)) for p in spans}).withColumns({"_tr": true_range(), **{f"sma_{p}": mean("close", p) for p in spans}})
+    frame = recursive_means(bars, {f"ema_{p}": ("close", span(p)) for p in spans}) if recursive else bars
+    frame = frame.withColumns({"_tr": true_range(), **{f"sma_{p}": mean("close", p) for p in spans}})
     out: dict[str, Column] = {}
     for p in spans:
         out[f"close_to_sma_{p}"] = div(c, F.col(f"sma_{p}"))
-        out[f"close_to_ema_{p}"] = div(c, F.col(f"ema_{p}"))
+        if recursive:
+            out[f"close_to_ema_{p}"] = div(c, F.col(f"ema_{p}"))
     for a, b in ((5, 20), (20, 50), (50, 200)):
         out[f"ma_cross_{a}_{b}"] = flag(F.col(f"sma_{a}") > F.col(f"sma_{b}"))
     for p in (10, 20, 30):

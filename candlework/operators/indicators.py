@@ -15,40 +15,57 @@ from candlework.operators.returns import true_range
 LEAST_BARS = 200
 
 
-def _after(k: int, c: str, y: str) -> Column:
+def _after(k: int, c: str, y: Column) -> Column:
     """y from the k-th value of c on."""
-    return F.when(F.count(c).over(ordered().rowsBetween(Window.unboundedPreceding, 0)) >= k, F.col(y))
+    return F.when(F.count(c).over(ordered().rowsBetween(Window.unboundedPreceding, 0)) >= k, y)
 
 
-def indicators(bars: DataFrame) -> DataFrame:
-    """Bars with rsi, macd, macd_signal, macd_hist, Bollinger bands, moving averages, obv, vwap, atr, adx, stochastics."""
+#: Indicators that come from recursive means, and the columns whose means they take.
+RECURSIVE = {"rsi": ("_gain", "_loss"), "atr": ("_tr",), "adx": ("_tr", "_up", "_down"), **{x: ("_e12", "_e26") for x in ("macd", "macd_signal", "macd_hist", "ema_12", "ema_26")}}
+
+
+def indicators(bars: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+    """Bars with rsi, macd, macd_signal, macd_hist, Bollinger bands, moving averages, obv, vwap, atr, adx, stochastics.
+
+    With only, recursive means that none of these needs are left out: the optimizer can't see into them, and without any
+    the plan has no Python at all. All other columns that aren't selected are pruned from the plan.
+    """
+    wanted = set(RECURSIVE) if only is None else set(RECURSIVE) & set(only)
+    need = {c for x in wanted for c in RECURSIVE[x]}
     c, h, low, v = (F.col(x) for x in ("close", "high", "low", "volume"))
     diff = c - lag("close")
     up, down = h - lag("high"), lag("low") - low
-    staged = bars.withColumns(
-        {
-            "_gain": F.when(diff.isNotNull(), F.greatest(diff, F.lit(0.0))), "_loss": F.when(diff.isNotNull(), F.greatest(-diff, F.lit(0.0))), "_tr": true_range(),
-            "_up": F.when(up.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(0.0)), "_down": F.when(down.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(0.0)),
-        }
-    )
-    wilder = {f"{c}_w": (c, 1 / 14) for c in ("_gain", "_loss", "_tr", "_up", "_down")}
-    staged = recursive_means(staged, {"_e12": ("close", span(12)), "_e26": ("close", span(26)), **wilder})
+    inputs = {
+        "_gain": F.when(diff.isNotNull(), F.greatest(diff, F.lit(0.0))), "_loss": F.when(diff.isNotNull(), F.greatest(-diff, F.lit(0.0))), "_tr": true_range(),
+        "_up": F.when(up.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(0.0)), "_down": F.when(down.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(0.0)),
+    }
+    staged = bars.withColumns({k: x for k, x in inputs.items() if k in need})
+    exponential = {"_e12": ("close", span(12)), "_e26": ("close", span(26))}
+    means = {k: m for k, m in exponential.items() if k in need} | {f"{k}_w": (k, 1 / 14) for k in inputs if k in need}
+    staged = recursive_means(staged, means) if means else staged
     # A second pass over the first one's results keeps the partitioning by ticker: no further exchange.
-    plus, minus = div(100 * F.col("_up_w"), F.col("_tr_w")), div(100 * F.col("_down_w"), F.col("_tr_w"))
-    staged = staged.withColumns({"_macd": F.col("_e12") - F.col("_e26"), "_dx": div(100 * F.abs(plus - minus), plus + minus)})
-    staged = recursive_means(staged, {"_signal": ("_macd", span(9)), "_adx": ("_dx", 1 / 14)})
+    means = {}
+    if "_e12" in need:
+        staged = staged.withColumn("_macd", F.col("_e12") - F.col("_e26"))
+        means |= {"_signal": ("_macd", span(9))} if wanted & {"macd_signal", "macd_hist"} else {}
+    if "adx" in wanted:
+        plus, minus = div(100 * F.col("_up_w"), F.col("_tr_w")), div(100 * F.col("_down_w"), F.col("_tr_w"))
+        staged = staged.withColumn("_dx", div(100 * F.abs(plus - minus), plus + minus))
+        means |= {"_adx": ("_dx", 1 / 14)}
+    staged = recursive_means(staged, means) if means else staged
     lowest, highest = full(14, F.min("low"), "low"), full(14, F.max("high"), "high")
     staged = staged.withColumns({"bb_middle": mean("close", 20), "_sd": std("close", 20), "_k": div(100 * (c - lowest), highest - lowest), "sma_20": mean("close", 20), "sma_50": mean("close", 50), "sma_200": mean("close", 200), "volume_sma": mean("volume", 20)})
     day = Window.partitionBy(KEY, F.to_date("ts")).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     out = {
-        "rsi": _after(14, "_gain", "_rsi"), "macd": F.col("_macd"), "macd_signal": F.col("_signal"), "macd_hist": F.col("_macd") - F.col("_signal"),
-        "bb_upper": F.col("bb_middle") + 2 * F.col("_sd"), "bb_lower": F.col("bb_middle") - 2 * F.col("_sd"), "bb_width": div(400 * F.col("_sd"), F.col("bb_middle")),
-        "ema_12": F.col("_e12"), "ema_26": F.col("_e26"), "atr": _after(14, "_tr", "_tr_w"), "adx": _after(28, "_tr", "_adx"), "stoch_k": mean("_k", 3),
+        "bb_upper": F.col("bb_middle") + 2 * F.col("_sd"), "bb_lower": F.col("bb_middle") - 2 * F.col("_sd"), "bb_width": div(400 * F.col("_sd"), F.col("bb_middle")), "stoch_k": mean("_k", 3),
         "obv": F.sum(F.coalesce(F.signum(diff) * v, F.lit(0.0))).over(ordered().rowsBetween(Window.unboundedPreceding, 0)),
         "vwap": div(F.sum((h + low + c) / 3 * v).over(day), F.sum("volume").over(day)), "volume_ratio": F.when(F.col("volume_sma") > 0, div(v, F.col("volume_sma"))),
     }
-    staged = staged.withColumn("_rsi", div(100 * F.col("_gain_w"), F.col("_gain_w") + F.col("_loss_w"))).withColumns(out)
-    staged = staged.withColumn("stoch_d", mean("stoch_k", 3))
+    made = {
+        "rsi": lambda: _after(14, "_gain", div(100 * F.col("_gain_w"), F.col("_gain_w") + F.col("_loss_w"))), "macd": lambda: F.col("_macd"), "macd_signal": lambda: F.col("_signal"), "macd_hist": lambda: F.col("_macd") - F.col("_signal"),
+        "ema_12": lambda: F.col("_e12"), "ema_26": lambda: F.col("_e26"), "atr": lambda: _after(14, "_tr", F.col("_tr_w")), "adx": lambda: _after(28, "_tr", F.col("_adx")),
+    }
+    staged = staged.withColumns(out | {k: made[k]() for k in made if k in wanted}).withColumn("stoch_d", mean("stoch_k", 3))
     return staged.drop(*[x for x in staged.columns if x.startswith("_")])
 
 

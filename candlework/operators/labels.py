@@ -38,10 +38,10 @@ def _std(x: Column) -> Column:
 
 
 def windows(bars: DataFrame, start: bool = True) -> DataFrame:
-    """Adds arrays o, h, l, c of the 60 bars from each row on (or up to it), null where there are fewer, and the bars' count."""
+    """Adds arrays w_o, w_h, w_l, w_c, w_v of the 60 bars from each row on (or up to it), null where there are fewer, and the bars' count."""
     frame = ordered().rowsBetween(0, W - 1) if start else ordered().rowsBetween(-(W - 1), 0)
     full = F.count("close").over(frame) == W
-    arrays = {a: F.when(full, F.collect_list(c).over(frame)) for a, c in (("w_o", "open"), ("w_h", "high"), ("w_l", "low"), ("w_c", "close"))}
+    arrays = {a: F.when(full, F.collect_list(c).over(frame)) for a, c in (("w_o", "open"), ("w_h", "high"), ("w_l", "low"), ("w_c", "close"), ("w_v", "volume"))}
     return bars.withColumns({**arrays, "_i": F.row_number().over(ordered()) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(KEY))})
 
 
@@ -115,7 +115,7 @@ def dataset(bars: DataFrame, stride: int = 5, ahead: int = 20) -> DataFrame:
     wrong = (p.isin(*BULLISH) & (fr < -0.05)) | (p.isin(*BEARISH) & (fr > 0.05))
     frame = frame.withColumn("pattern_id", F.when(wrong, 0).otherwise(p)).where((F.col("confidence") > 0.6) | (F.col("pattern_id") == 0))
     start = F.col("_i").cast("long").alias("start_idx")
-    return frame.select(KEY, F.col("_end").alias("date"), "pattern_id", "confidence", "future_return", start, "w_o", "w_h", "w_l", "w_c")
+    return frame.select(KEY, F.col("_end").alias("date"), "pattern_id", "confidence", "future_return", start, "w_o", "w_h", "w_l", "w_c", "w_v")
 
 
 def records(rows: DataFrame, back: int = 20) -> DataFrame:

@@ -23,6 +23,16 @@ def chart(frame: DataFrame) -> DataFrame:
     return frame.withColumn("features", array_to_vector(F.concat(unit("w_c"), unit("w_h"), unit("w_l"))))
 
 
+def matrix(frame: DataFrame) -> DataFrame:
+    """Adds chart, 60 rows of (open, high, low, close, volume) between 0 and 1: prices between the window's lowest low and
+    highest high (0.5 if these are one), volumes over the largest (0 if there are none). It stands for a rendered image."""
+    low, high, most = F.array_min("w_l"), F.array_max("w_h"), F.array_max("w_v")
+    price = lambda x: F.when(high > low, (x - low) / (high - low)).otherwise(0.5)
+    bars = F.arrays_zip("w_o", "w_h", "w_l", "w_c", "w_v")
+    row = lambda b: F.array(*[price(b[c]) for c in ("w_o", "w_h", "w_l", "w_c")], F.when(most > 0, b["w_v"] / most).otherwise(0.0))
+    return frame.withColumn("chart", F.transform(bars, row))
+
+
 def train(rows: DataFrame, hidden: tuple[int, ...] = (32,), rounds: int = 30, seed: int = 7) -> PipelineModel:
     rows = chart(rows).select("features", F.col("pattern_id").cast("string").alias("pattern"))
     indexer = StringIndexer(inputCol="pattern", outputCol="label", handleInvalid="keep").fit(rows)
@@ -42,7 +52,7 @@ def probabilities(model: PipelineModel, rows: DataFrame) -> DataFrame:
 def detect(model: PipelineModel, rows: DataFrame, least: float = 0.7, top: int = 3) -> DataFrame:
     """A row for each pattern among a window's top ones, without pattern 0, whose probability is least or more; with the
     pattern's name and the places of its start, end and breakout if the rows have start_idx."""
-    carried = [c for c in (*rows.columns, "pattern", "end_idx", "breakout_idx") if c not in ("pattern_id", "confidence", "w_o", "w_h", "w_l", "w_c")]
+    carried = [c for c in (*rows.columns, "pattern", "end_idx", "breakout_idx") if c not in ("pattern_id", "confidence", "w_o", "w_h", "w_l", "w_c", "w_v")]
     found = probabilities(model, rows).drop("pattern_id", "confidence").withColumn("x", F.explode(F.slice("probs", 1, top)))
     found = found.withColumns({"pattern_id": F.col("x.pattern_id"), "confidence": F.col("x.p")}).where((F.col("pattern_id") != 0) & (F.col("confidence") >= least))
     if "start_idx" in rows.columns:

@@ -205,7 +205,7 @@ ORACLES["split_info"] = f"SELECT split, count(*) AS n, min(ts) AS first_ts, max(
 
 def _label_stages(ahead: int = 20) -> tuple[str, ...]:
     frame = f"({W} ROWS BETWEEN CURRENT ROW AND 59 FOLLOWING)"
-    arrays = ", ".join(f"list({c}) OVER {frame} AS {a}" for a, c in (("h", "high"), ("l", "low"), ("c", "close")))
+    arrays = ", ".join(f"list({c}) OVER {frame} AS {a}" for a, c in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"), ("v", "volume")))
     return (
         f"{arrays}, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n, lead(ts, 59) OVER ({W}) AS date, lead(close, 59) OVER ({W}) AS lst, lead(close, {59 + ahead}) OVER ({W}) AS thn",
         "(c[25] - c[1]) / c[1] AS up, list_stddev_samp(list_transform(range(26, 49), lambda j: c[j] / c[j - 1] - 1)) AS vol, list_max(h[25:48]) AS top, (list_max(h[25:48]) - list_min(l[25:48])) / c[25] AS spread, list_avg(c[22:41]) AS sma, "
@@ -316,10 +316,13 @@ _BROAD_WINDOWS = on("*", *_label_stages(), bars=BROAD)
 ORACLES["backtest_accuracy"] = f"SELECT count(*) AS n, round(avg(correct::INT), 8) AS accuracy FROM (SELECT CASE WHEN pid IN (1, 6, 10) THEN fr > 0 WHEN pid = 8 THEN fr < 0 ELSE abs(fr) < 0.03 END AS correct FROM ({_BROAD_WINDOWS}) WHERE i = n - 80)"
 _KEPT = "n >= 110 AND i % 5 = 0 AND i < n - 80 AND (conf > 0.6 OR pid2 = 0)"
 ORACLES["label_records"] = f"SELECT ticker, date, CASE pid2 WHEN 0 THEN 'no_pattern' WHEN 1 THEN 'bull_flag' WHEN 6 THEN 'cup_and_handle' WHEN 8 THEN 'head_shoulders' ELSE 'double_bottom' END AS pattern, i AS start_idx, i + 59 AS end_idx, CASE WHEN c[60] > 0.99::DOUBLE * list_max(h[41:60]) THEN i + 59 END AS breakout_idx FROM ({_WINDOWED}) WHERE {_KEPT}"
+_SPAN = "(list_max(h[1:60]) - list_min(l[1:60]))"
+_SUMS = ", ".join(f"round(CASE WHEN {_SPAN} > 0 THEN list_sum(list_transform({a}[1:60], lambda x: (x - list_min(l[1:60])) / {_SPAN})) ELSE 30 END, 6) AS {c}" for a, c in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close")))
+ORACLES["chart_matrix"] = f"SELECT ticker, date, 60 AS n, {_SUMS}, round(CASE WHEN list_max(v[1:60]) > 0 THEN list_sum(v[1:60]) / list_max(v[1:60]) ELSE 0 END, 6) AS volume FROM (SELECT ticker, date, o, h, l, c, v FROM ({_WINDOWED}) WHERE {_KEPT})"
 _CHOSEN = f"SELECT ticker FROM ({_SCORED}) WHERE mode = 'loose' AND passed ORDER BY s DESC, ticker LIMIT 100"
 _COLLECTED = on("*", *_label_stages(), bars=f"SELECT * FROM ({TREND}) WHERE ticker IN ({_CHOSEN})")
 ORACLES["collect_dataset"] = f"SELECT ticker, CAST(pid2 AS INT) AS pattern_id, count(*) AS n FROM ({_COLLECTED}) WHERE n > 250 AND {_KEPT} GROUP BY ticker, pid2"
-_Z = ", ".join(f"({c} - avg({c}) OVER (PARTITION BY ticker)) / stddev_pop({c}) OVER (PARTITION BY ticker) AS {c}" for c in ("open", "high", "low", "close"))
+_Z = ", ".join(f"({c} - avg({c}) OVER (PARTITION BY ticker)) / stddev_pop({c}) OVER (PARTITION BY ticker) AS {c}" for c in ("open", "high", "low", "close", "volume"))
 _SCALED = on("*", *_label_stages(), bars=f"SELECT ticker, ts, {_Z} FROM ({TREND}) WHERE ticker IN ({_CHOSEN})")
 ORACLES["collect_scaled"] = f"SELECT ticker, count(*) AS n FROM ({_SCALED}) WHERE n > 250 AND {_KEPT} GROUP BY ticker"
 ORACLES["pattern_boxes"] = f"""SELECT b.ticker, b.start, b."end", b.low, b.high, CASE WHEN p.breakout THEN p.ts END AS marked FROM (SELECT ticker, min(ts) AS start, max(ts) AS "end", min(low) AS low, max(high) AS high FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS back FROM ({DEEP})) WHERE back <= 60 GROUP BY ticker) b JOIN ({ORACLES['breakout_points']}) p ON p.ticker = b.ticker"""

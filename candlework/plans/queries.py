@@ -23,9 +23,9 @@ def _r(*names: str, digits: int = 8):
     return [F.round(F.col(n), digits).alias(n) for n in names]
 
 
-def _feature(family: str, exact=(), rounded=(), relative=(), coarse=()):
+def _feature(family: str, exact=(), rounded=(), relative=(), coarse=(), **options):
     def query(spark, sf_dir) -> DataFrame:
-        return features.FAMILIES[family](B.bars_deep(spark, sf_dir)).select(KEY, TIME, *exact, *_r(*rounded), *_r(*coarse, digits=6), *_rel(*relative))
+        return features.FAMILIES[family](B.bars_deep(spark, sf_dir), **options).select(KEY, TIME, *exact, *_r(*rounded), *_r(*coarse, digits=6), *_rel(*relative))
 
     query.plain, query.relative = (*exact, *rounded, *coarse), tuple(relative)
     return query
@@ -85,14 +85,14 @@ feat_trend_slope = _feature("pattern", rounded=_windowed_ps("trend_strength", ps
 feat_touches = _feature("pattern", exact=_windowed_ps("resistance_touches", "support_touches", ps=(20, 50)))
 feat_breakout = _feature("pattern", exact=_windowed_ps("breakout_up", "breakout_down", ps=(20, 50)))
 SP = (5, 10, 20, 50, 100, 200)
-feat_sma_cross = _feature("technical", exact=["ma_cross_5_20", "ma_cross_20_50", "ma_cross_50_200"], rounded=_windowed_ps("close_to_sma", ps=SP), relative=_windowed_ps("sma", ps=SP))
+feat_sma_cross = _feature("technical", recursive=False, exact=["ma_cross_5_20", "ma_cross_20_50", "ma_cross_50_200"], rounded=_windowed_ps("close_to_sma", ps=SP), relative=_windowed_ps("sma", ps=SP))
 feat_ema = _feature("technical", rounded=_windowed_ps("close_to_ema", ps=SP), relative=_windowed_ps("ema", ps=SP))
-feat_bollinger = _feature("technical", rounded=_windowed_ps("bb_position", ps=(10, 20, 30)) + _windowed_ps("atr_ratio", ps=(7, 14, 21)), relative=_windowed_ps("bb_upper", "bb_lower", "bb_width", ps=(10, 20, 30)) + _windowed_ps("atr", ps=(7, 14, 21)))
+feat_bollinger = _feature("technical", recursive=False, rounded=_windowed_ps("bb_position", ps=(10, 20, 30)) + _windowed_ps("atr_ratio", ps=(7, 14, 21)), relative=_windowed_ps("bb_upper", "bb_lower", "bb_width", ps=(10, 20, 30)) + _windowed_ps("atr", ps=(7, 14, 21)))
 feat_cyclical = _feature("cyclical", exact=["quarter", "is_month_start", "is_month_end", "is_quarter_start", "is_quarter_end"], rounded=["day_sin", "day_cos", "month_day_sin", "month_day_cos", "month_sin", "month_cos"])
 
 
 def _indicators(exact=(), rounded=(), relative=()):
-    return lambda spark, sf_dir: indicators.indicators(B.bars_deep(spark, sf_dir)).select(KEY, TIME, *exact, *_r(*rounded), *_rel(*relative))
+    return lambda spark, sf_dir: indicators.indicators(B.bars_deep(spark, sf_dir), (*exact, *rounded, *relative)).select(KEY, TIME, *exact, *_r(*rounded), *_rel(*relative))
 
 
 ind_rsi = _indicators(rounded=["rsi"])
@@ -106,7 +106,7 @@ ind_bands = _indicators(rounded=["bb_width"], relative=["bb_upper", "bb_middle",
 
 
 def ind_vwap_intraday(spark, sf_dir):
-    return indicators.indicators(B.bars_hourly(spark, sf_dir)).select(KEY, TIME, *_rel("vwap"))
+    return indicators.indicators(B.bars_hourly(spark, sf_dir), ("vwap",)).select(KEY, TIME, *_rel("vwap"))
 
 
 def ind_snapshot_score(spark, sf_dir):
@@ -301,6 +301,12 @@ def label_records(spark, sf_dir):
     return labels.records(labels.dataset(B.bars_deep(spark, sf_dir))).select(KEY, "date", "pattern", "start_idx", "end_idx", "breakout_idx")
 
 
+def chart_matrix(spark, sf_dir):
+    rows = model.matrix(labels.dataset(B.bars_deep(spark, sf_dir)))
+    total = lambda i: F.aggregate(F.transform("chart", lambda b: b[i]), F.lit(0.0), lambda a, x: a + x)
+    return rows.select(KEY, "date", F.size("chart").alias("n"), *[F.round(total(i), 6).alias(c) for i, c in enumerate(("open", "high", "low", "close", "volume"))])
+
+
 def collect_dataset(spark, sf_dir):
     return labels.collect(B.bars_trending(spark, sf_dir)).groupBy(KEY, "pattern_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -339,7 +345,7 @@ NAMES = (
     "ind_snapshot_score ind_signals screen_checks screen_rank impute_linear impute_ffill scale_standard scale_robust feature_stats feature_importance split_chrono split_info split_gap split_walk_forward "
     "split_stratified seq_windows label_windows label_distribution backtest_direction breakout_points model_detect augment "
     "bars_trending bars_weekly bars_scan bars_last_year universe_limit universe_detailed fundamentals_lookup ind_bands ind_vwap_intraday screen_metrics screen_scores screen_pass_rate screen_report impute_mean impute_drop "
-    "scale_minmax scale_fitted seq_arrays seq_split preprocess_sequences preprocess_metadata backtest_accuracy label_records collect_dataset collect_scaled pattern_boxes model_backtest"
+    "scale_minmax scale_fitted seq_arrays seq_split preprocess_sequences preprocess_metadata backtest_accuracy label_records chart_matrix collect_dataset collect_scaled pattern_boxes model_backtest"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
 

@@ -167,3 +167,12 @@ def test_settings_by_section(spark, tmp_path):
     assert S.Settings.load(tmp_path / "s.json") == s and not S.Settings().problems()
     row = spark.createDataFrame([(1.0, 1.0, 1.0, 1.0, None)], "pattern double, forecast double, technical double, sentiment double, volume double")
     assert row.select(S.ensemble_score(S.ModelSettings())).first()[0] == pytest.approx(0.9)
+
+
+def test_chart_matrix(rows):
+    for r in model.matrix(rows).limit(20).collect():
+        x = np.array(r.chart)
+        assert x.shape == (60, 5) and x.min() >= 0 and x.max() <= 1 and x[:, 1].max() == 1 and x[:, 2].min() == 0
+        low, high = min(r.w_l), max(r.w_h)
+        np.testing.assert_allclose(x[:, 3], (np.array(r.w_c) - low) / (high - low))
+        np.testing.assert_allclose(x[:, 4], np.array(r.w_v) / max(r.w_v))
