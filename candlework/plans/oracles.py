@@ -237,6 +237,7 @@ ORACLES["bars_scan"] = f"SELECT * FROM ({BROAD}) WHERE ticker IN ('1', '5', '7',
 ORACLES["bars_last_year"] = f"WITH b AS ({BROAD}) SELECT * FROM b WHERE ts >= (SELECT max(ts) - INTERVAL 1 YEAR FROM b) AND ticker IN (SELECT ticker FROM ({ORACLES['universe_info']}) ORDER BY ticker LIMIT 5)"
 ORACLES["universe_limit"] = "SELECT CAST(s_suppkey AS VARCHAR) AS ticker FROM supplier ORDER BY ticker LIMIT 20"
 ORACLES["universe_detailed"] = "SELECT 'S-' || s_suppkey AS ticker, s_name AS name, s_nationkey AS cik, s_acctbal AS Notes FROM supplier"
+ORACLES["universe_html"] = "SELECT CAST(row_number() OVER (ORDER BY s_suppkey) AS INT) AS pos, 'S-' || s_suppkey AS ticker FROM supplier"
 ORACLES["fundamentals_lookup"] = f"""SELECT t.ticker, coalesce(name, 'N/A') AS name, coalesce(sector, 'N/A') AS sector, coalesce(industry, 'N/A') AS industry, CAST(0 AS BIGINT) AS market_cap, CAST(0 AS BIGINT) AS avg_volume, CAST(0 AS BIGINT) AS shares_outstanding,
   CAST(NULL AS DOUBLE) AS pe_ratio, CAST(NULL AS DOUBLE) AS forward_pe, CAST(NULL AS DOUBLE) AS dividend_yield, CAST(length(name) AS DOUBLE) AS beta, CAST(NULL AS DOUBLE) AS high_52w, CAST(NULL AS DOUBLE) AS low_52w, CASE WHEN name IS NULL THEN 'missing' ELSE 'ok' END AS status
 FROM (SELECT CAST(n_nationkey * 7 AS VARCHAR) AS ticker FROM nation) t LEFT JOIN ({ORACLES['universe_info']}) u ON u.ticker = t.ticker"""
@@ -314,6 +315,8 @@ _LAGGED = 2 + sum(2 * min_ for min_ in (1, 2, 3, 5, 10, 20, 30)) + sum(2 * min_
 ORACLES["preprocess_metadata"] = f"SELECT ticker, CAST(47 AS BIGINT) AS num_features, count(*) AS num_samples, CAST({_LAGGED} AS BIGINT) AS missing_values, greatest(0, count(*) - 60) AS num_sequences FROM ({DEEP}) GROUP BY ticker"
 _BROAD_WINDOWS = on("*", *_label_stages(), bars=BROAD)
 ORACLES["backtest_accuracy"] = f"SELECT count(*) AS n, round(avg(correct::INT), 8) AS accuracy FROM (SELECT CASE WHEN pid IN (1, 6, 10) THEN fr > 0 WHEN pid = 8 THEN fr < 0 ELSE abs(fr) < 0.03 END AS correct FROM ({_BROAD_WINDOWS}) WHERE i = n - 80)"
+_N = lambda name: f"(SELECT count(*) FROM ({ORACLES['split_chrono']}) WHERE split = '{name}')"
+ORACLES["training_metadata"] = f"SELECT accuracy AS test_accuracy, {_N('train')} AS training_samples, {_N('valid')} AS validation_samples, {_N('test')} AS test_samples, CAST(20 AS BIGINT) AS epochs, '2024-01-02 03:04:05' AS training_date FROM ({ORACLES['backtest_accuracy']})"
 _KEPT = "n >= 110 AND i % 5 = 0 AND i < n - 80 AND (conf > 0.6 OR pid2 = 0)"
 ORACLES["label_records"] = f"SELECT ticker, date, CASE pid2 WHEN 0 THEN 'no_pattern' WHEN 1 THEN 'bull_flag' WHEN 6 THEN 'cup_and_handle' WHEN 8 THEN 'head_shoulders' ELSE 'double_bottom' END AS pattern, i AS start_idx, i + 59 AS end_idx, CASE WHEN c[60] > 0.99::DOUBLE * list_max(h[41:60]) THEN i + 59 END AS breakout_idx FROM ({_WINDOWED}) WHERE {_KEPT}"
 _SPAN = "(list_max(h[1:60]) - list_min(l[1:60]))"

@@ -176,6 +176,14 @@ def universe_detailed(spark, sf_dir):
     return B.detailed_universe(published)
 
 
+def universe_html(spark, sf_dir):
+    """A page with a table of constituents, made from the suppliers, and what is read from it."""
+    row = F.concat(F.lit("<tr><td> <a href='/q'>S."), "s_suppkey", F.lit("</a></td><td>"), "s_name", F.lit("</td></tr>"))
+    rows = B.table(spark, sf_dir, "supplier").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", row.alias("row")))).alias("rows"))
+    page = F.concat(F.lit("<table class='wikitable sortable'><tr><th>No</th></tr><tr><td>X</td></tr></table><table id=constituents><tr><th>Symbol</th></tr>"), F.array_join("rows.row", ""), F.lit("</table>"))
+    return B.universe_from_html(rows.select(page.alias("html"))).select("pos", "ticker")
+
+
 def fundamentals_lookup(spark, sf_dir):
     rows = B.universe(spark, sf_dir).withColumn("beta", F.length("name").cast("double"))
     return B.fundamentals(rows, B.table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 7).cast("string").alias("ticker")))
@@ -297,6 +305,13 @@ def backtest_accuracy(spark, sf_dir):
     return labels.accuracy(labels.backtest(B.bars_broad(spark, sf_dir))).select("n", *_r("accuracy"))
 
 
+def training_metadata(spark, sf_dir):
+    rows = prepare.split_chronological(B.bars_deep(spark, sf_dir))
+    made = model.training_metadata(rows, labels.backtest(B.bars_broad(spark, sf_dir)), 20, "2024-01-02 03:04:05")
+    read = lambda name, kind: F.get_json_object("metadata", f"$.{name}").cast(kind).alias(name)
+    return made.select(F.round(read("test_accuracy", "double"), 8).alias("test_accuracy"), *[read(x, "long") for x in ("training_samples", "validation_samples", "test_samples", "epochs")], read("training_date", "string"))
+
+
 def label_records(spark, sf_dir):
     return labels.records(labels.dataset(B.bars_deep(spark, sf_dir))).select(KEY, "date", "pattern", "start_idx", "end_idx", "breakout_idx")
 
@@ -344,8 +359,8 @@ NAMES = (
     "feat_stats_quantiles feat_zscore feat_higher_high_runs feat_trend_slope feat_touches feat_breakout feat_sma_cross feat_ema feat_bollinger feat_cyclical ind_rsi ind_macd ind_stoch ind_obv_vwap ind_atr_adx "
     "ind_snapshot_score ind_signals screen_checks screen_rank impute_linear impute_ffill scale_standard scale_robust feature_stats feature_importance split_chrono split_info split_gap split_walk_forward "
     "split_stratified seq_windows label_windows label_distribution backtest_direction breakout_points model_detect augment "
-    "bars_trending bars_weekly bars_scan bars_last_year universe_limit universe_detailed fundamentals_lookup ind_bands ind_vwap_intraday screen_metrics screen_scores screen_pass_rate screen_report impute_mean impute_drop "
-    "scale_minmax scale_fitted seq_arrays seq_split preprocess_sequences preprocess_metadata backtest_accuracy label_records chart_matrix collect_dataset collect_scaled pattern_boxes model_backtest"
+    "bars_trending bars_weekly bars_scan bars_last_year universe_limit universe_detailed universe_html fundamentals_lookup ind_bands ind_vwap_intraday screen_metrics screen_scores screen_pass_rate screen_report impute_mean impute_drop "
+    "scale_minmax scale_fitted seq_arrays seq_split preprocess_sequences preprocess_metadata backtest_accuracy training_metadata label_records chart_matrix collect_dataset collect_scaled pattern_boxes model_backtest"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
 
