@@ -18,7 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination of documents."""
+    """Benchmark decontamination of documents; rows that repeat both id and text are one document and give one row."""
     found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
@@ -32,7 +32,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licences of whole documents and notices in their lines."""
+    """Licences of whole documents and notices in their lines, by the texts of licence_texts; a row for each row."""
     return licences.scan(_table(spark, sf_dir, "documents"))
 
 

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import llm_brute as brute
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,31 @@ def test_token_files(spark, docs, texts, tmp_path):
     assert brute.tokenizer().decode(one.ids[:-1]) == texts[4][1] and one.ids[-1] == 2
 
 
+def test_token_files_are_made_for_selective_reads(spark, tmp_path, monkeypatch):
+    """Encodings, row groups, pages and their indexes as the files' footers tell; parts are ranges of ids, hot ids split."""
+    rng = random.Random(4)
+    rows = [(i if i % 3 else None, " ".join(rng.choice(SPOKEN["xb"].split()) + str(rng.randrange(300)) for _ in range(200))) for i in range(3000)]
+    monkeypatch.setattr(token_files, "PART_BYTES", 400_000)
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/ids")
+    files = sorted(Path(f"{tmp_path}/ids").glob("*.parquet"))
+    assert 4 <= len(files) <= 14
+    encodings, sizes, read = {}, [], []
+    for f in files:
+        meta = pq.read_metadata(f)
+        for g in range(meta.num_row_groups):
+            sizes.append(meta.row_group(g).total_byte_size)
+            for c in range(meta.num_columns):
+                column = meta.row_group(g).column(c)
+                encodings.setdefault(column.path_in_schema, set()).update(column.encodings)
+                assert column.has_offset_index and (column.has_column_index or column.path_in_schema.startswith("ids")) and column.compression == "ZSTD"
+        read.append(pq.read_table(f, columns=["doc_id", "n_tokens"]).to_pylist())
+    assert max(sizes) < 2 * int(token_files.LAYOUT["parquet.block.size"])
+    assert "RLE_DICTIONARY" in encodings["ids.list.element"] and "DELTA_BINARY_PACKED" in encodings["part_start"] and "DELTA_BINARY_PACKED" in encodings["doc_id"]
+    assert sum(any(r["doc_id"] is None for r in rows) for rows in read) >= 2  # a third of the rows have no id, and they don't make one file
+    got = sorted(tuple(r)[1:] for r in token_files.with_crc32(token_files.read_token_files(spark, f"file://{tmp_path}/ids")).collect())
+    assert got == sorted(x[1:] for x in brute.token_rows(rows))
+
+
 def test_token_files_of_nulls_repeats_and_nothing(spark, tmp_path):
     rows = [(None, None), (2, "b"), (2, "b"), (2, None), (1, "a\u0000b")]
     for k, some in enumerate((rows, [])):
@@ -238,7 +264,7 @@ def _automaton(texts, mus, learned=None):
     grams = lm.Grams("".join(texts).encode(), lengths, 1 + len(mus), 64)
     learned = np.ones(len(texts), bool) if learned is None else learned
     asked = grams.asked(learned)
-    return lm.Automaton(grams, [(k, c.astype(np.uint64)) for k, c in asked], int(asked[0][1].sum()), int((asked[0][1] > 0).sum()), mus)
+    return lm.Automaton(grams, [e for _, _, e in asked], [c.astype(np.uint64) for _, c, _ in asked], int(asked[0][1].sum()), int((asked[0][1] > 0).sum()), mus)
 
 
 @pytest.mark.parametrize("mus", [(30.0,), (30.0, 9.0, 4.0)])
@@ -388,6 +414,14 @@ def test_mixing(docs, texts):
     assert all(r.taken <= 3 * r["size"] for r in found.values())
 
 
+def test_mixing_of_many_sources(spark):
+    """Sources whose limits are reached in several rounds, some without words, in code point order over partitions."""
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.choice((0, 1, 3, 50, 400)), rng.choice((None, "", *(chr(0x61 + k % 26) * (1 + k // 26) + "é" * (k % 2) for k in range(150))))) for i in range(600)]
+    found = rows_of(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)), "doc_id")
+    assert {k: (r["size"], r.source_size, r.target, r.taken) for k, r in found.items()} == brute.mixing(rows)
+
+
 def test_languages(docs, texts):
     held = [zlib.crc32(str(x[0]).encode()) % 4 == 2 for x in texts]
     found = rows_of(lang_id.identify(docs, lang_id.profiles(docs.where(~lang_id.is_held_out()))), "doc_id")
@@ -418,6 +452,30 @@ def test_pipeline(spark, texts, items, tmp_path):
     assert got == sorted(brute.token_rows(mixed))
 
 
+def test_tables_are_never_written_to_a_machine_of_a_cluster():
+    from types import SimpleNamespace as N
+
+    from candlework.llm._store import shared_folder
+
+    def session(master, folder=None):
+        return N(conf=N(get=lambda key, default: folder), sparkContext=N(master=master, _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False)))))
+
+    with pytest.raises(ValueError):
+        shared_folder(session("spark://somewhere:7077"))
+    assert shared_folder(session("spark://somewhere:7077", "hdfs://x/y/")) == "hdfs://x/y"
+
+
+def test_written_tables_can_be_deleted(spark, tmp_path):
+    from candlework.llm import _store
+
+    kept = _store.Scratch(spark, "some").keep(spark.range(3), "t")
+    assert kept.count() == 3
+    folder = Path(_store.shared_folder(spark).removeprefix("file:")) / "candlework"
+    assert list(folder.glob("some-*/t"))
+    _store.clear(spark)
+    assert not folder.exists()
+
+
 def test_pipeline_is_registered_with_five_stages(spark):
     import __spark_entry__
 
