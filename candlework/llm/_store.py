@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +46,16 @@ class Scratch:
         frame.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(frame.schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Have shuffle files deleted that no plan can read any more.
+
+        Spark does that when the driver collects its garbage, which may be long after the next step needs the disk.
+        """
+        for _ in range(2):  # what the first round gives back lets go of more
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later plan reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -45,7 +45,7 @@ _END = np.uint64(0x5851F42D4C957F2D)
 
 def _squeeze(values: np.ndarray) -> bytes:
     """Numbers by byte planes, compressed; of ascending keys, their differences."""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
@@ -86,26 +86,23 @@ class Grams:
         """Where keys[k] are of n-grams that begin at the start of their text at the earliest."""
         return self.place >= k - 1
 
-    def asked(self, training: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of single tokens and of longer n-grams, all keys, ascending, and how often each occurs in training texts."""
+    def asked(self, training: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of single tokens and of longer n-grams, all keys, ascending, how often each occurs in training texts, and which
+        of them ends where: a row for each size, a column for each token, -1 where none does."""
         learn = training[self.row]
         out = []
-        for orders in ([0], range(1, len(self.keys))):
-            mine, other = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            for k in orders:
-                real = self.real(k)
-                mine.append(self.keys[k][real & learn])
-                other.append(self.keys[k][real & ~learn])
-            ordered = np.sort(np.concatenate(mine))
-            first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
-            n = np.diff(np.append(first, len(ordered)))
-            mine = ordered[first]
-            other = np.unique(np.concatenate(other))
-            if len(mine) and len(other):
-                other = other[mine[np.minimum(np.searchsorted(mine, other), len(mine) - 1)] != other]
-            keys = np.concatenate((mine, other))
+        for sizes in ([0], list(range(1, len(self.keys)))):
+            real = [self.real(k) for k in sizes]
+            keys = np.concatenate([self.keys[k][r] for k, r in zip(sizes, real)])
             order = np.argsort(keys)
-            out.append((keys[order], np.concatenate((n, np.zeros(len(other), np.int64)))[order].astype(np.uint32)))
+            keys = keys[order]
+            first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+            which = np.empty(len(keys), np.int32)
+            which[order] = np.cumsum(first) - 1
+            ends = np.full((len(sizes), len(self.row)), -1, np.int32)
+            ends[np.array(real)] = which  # row by row
+            learned = np.concatenate([learn[r] for r in real])
+            out.append((keys[first], np.bincount(which, weights=learned, minlength=int(first.sum())).astype(np.uint32), ends))
         return out
 
 
@@ -117,27 +114,27 @@ class Automaton:
     n-grams, to that of their last order - 1 tokens.
     """
 
-    def __init__(self, grams: Grams, totals: list[tuple[np.ndarray, np.ndarray]], tokens: int, kinds: int, mus: tuple[float, ...]):
+    def __init__(self, grams: Grams, ends: list[np.ndarray], totals: list[np.ndarray], tokens: int, kinds: int, mus: tuple[float, ...]):
+        """ends as from Grams.asked; totals: training counts of all blocks for the keys that asked() gives."""
         self.grams, self.top = grams, len(mus)
         self.unknown = ADD / (tokens + ADD * (kinds + 1))
         self.arc: list[np.ndarray] = []  # by level, of each place the arc whose n-gram ends there, or -1
         self.weight, self.fails, self.to = [], [], []  # of arcs, and of the states that they lead to
-        for k, keys in enumerate(grams.keys):
-            known, count = totals[min(k, 1)]
-            seen, count = known[count > 0], count[count > 0].astype(np.float64)
-            at = np.searchsorted(seen, keys) if len(seen) else np.zeros(len(keys), np.int64)
-            hit = grams.real(k) & (seen[np.minimum(at, len(seen) - 1)] == keys) if len(seen) else np.zeros(len(keys), bool)
-            places = np.flatnonzero(hit)
+        for k in range(len(grams.keys)):
+            which, total = (ends[0][0], totals[0]) if k == 0 else (ends[1][k - 1], totals[1])
+            places = np.flatnonzero(which >= 0)
+            places = places[total[which[places]] > 0]
+            place_of = np.full(len(total), -1, np.int64)  # one place of each seen n-gram of this size
+            place_of[which[places]] = places
+            seen = np.flatnonzero(place_of >= 0)
+            number = np.full(len(total), -1, np.int64)
+            number[seen] = np.arange(len(seen))
+            place, count = place_of[seen], total[seen].astype(np.float64)
+            here = np.full(len(which), -1)
+            here[places] = number[which[places]]
             if k == 0:
-                end = int(np.searchsorted(seen, _END)) if len(seen) and seen[min(np.searchsorted(seen, _END), len(seen) - 1)] == _END else -1
-            which, place, arc = np.unique(at[places], return_index=True, return_inverse=True)
-            place, count = places[place], count[which]
-            here = np.full(len(keys), -1)
-            here[places] = arc
-            if k == 0:
-                p, suffix = (count + ADD) / (tokens + ADD * (kinds + 1)), np.zeros(len(which), np.int64)
-                self.start = int(np.searchsorted(which, end)) if end >= 0 and end in which else -1
-                before = None
+                p, suffix = (count + ADD) / (tokens + ADD * (kinds + 1)), np.zeros(len(seen), np.int64)
+                self.start = int(here[grams.first[0] + grams.n_tokens[0] - 1]) if len(grams.first) else -1  # the end token's
             else:
                 suffix = self.arc[k - 1][place]
                 history = np.where(grams.place[place] == 0, self.start, self.arc[k - 1][place - 1])
@@ -214,7 +211,7 @@ def score(docs: DataFrame, *, held_out: Column, doc_id: str = "doc_id", text: st
 
         def block():
             nonlocal k, size
-            row = [pa.array([part << 32 | k], pa.int64()), pa.array([ids[:]], pa.list_(id_type)), pa.array([held[:]]), pa.array([lengths[:]], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(level=3).compress(b"".join(whole))])]
+            row = [pa.array([part << 32 | k], pa.int64()), pa.array([ids[:]], pa.list_(id_type)), pa.array([held[:]]), pa.array([lengths[:]], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(level=6).compress(b"".join(whole))])]
             k, size = k + 1, 0
             for x in (ids, held, lengths, whole):
                 x.clear()
@@ -240,7 +237,7 @@ def score(docs: DataFrame, *, held_out: Column, doc_id: str = "doc_id", text: st
     shards, bits = max(8, math.ceil(size / SHARD_BYTES)), min(64, max(32, size.bit_length()) + MARGIN_BITS)
     low = np.uint64(64 - bits)
 
-    def opened(lengths, held, body) -> tuple[Grams, list[tuple[np.ndarray, np.ndarray]]]:
+    def opened(lengths, held, body) -> tuple[Grams, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
         grams = Grams(zstandard.ZstdDecompressor().decompress(body), np.array(lengths, np.int64), 1 + len(mus), bits)
         return grams, grams.asked(~np.array(held, bool))
 
@@ -251,14 +248,14 @@ def score(docs: DataFrame, *, held_out: Column, doc_id: str = "doc_id", text: st
             for row in batch.to_pylist():
                 _, kinds = opened(row["lengths"], row["held"], row["body"])
                 cuts = []
-                for keys, _ in kinds:
+                for keys, _, _ in kinds:
                     of = _shard_of(keys, shards)  # ascending
                     used = np.unique(of)
                     cuts.append({int(x): (int(a), int(b)) for x, a, b in zip(used, np.searchsorted(of, used), np.searchsorted(of, used, "right"))})
                 out = []
                 for x in sorted(set(cuts[0]) | set(cuts[1])):
                     blobs = []
-                    for (keys, counts), cut, shift in zip(kinds, cuts, (np.uint64(0), low)):
+                    for (keys, counts, _), cut, shift in zip(kinds, cuts, (np.uint64(0), low)):
                         a, b = cut.get(x, (0, 0))
                         blobs += [_squeeze(np.diff(keys[a:b] >> shift, prepend=np.uint64(0))), _squeeze(counts[a:b])]
                     out.append((x, row["block"], *blobs))
@@ -288,6 +285,8 @@ def score(docs: DataFrame, *, held_out: Column, doc_id: str = "doc_id", text: st
     asked = blocks.select("block", "lengths", "held", "body").mapInArrow(ask, "shard int, block long, " + ", ".join(f"{x} binary" for x in parts))
     answers = asked.groupBy("shard").applyInArrow(add_up, "block long, shard int, one binary, two binary, tokens long, kinds long")
     answers = scratch.keep(answers, "answers")
+    del asked
+    scratch.release()  # the questions are as large as all else together
     tokens, kinds = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
 
     def read_through(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -296,12 +295,12 @@ def score(docs: DataFrame, *, held_out: Column, doc_id: str = "doc_id", text: st
             grams, known = opened(row["lengths"], row["held"], row["body"])
             order = np.argsort(right.column("shard").to_numpy())
             totals = []
-            for (keys, _), name in zip(known, ("one", "two")):
+            for (keys, _, _), name in zip(known, ("one", "two")):
                 blobs = right.column(name).to_pylist()
-                totals.append((keys, np.concatenate([_stretch(blobs[i], np.uint64) for i in order])))
-                if len(totals[-1][1]) != len(keys):
+                totals.append(np.concatenate([_stretch(blobs[i], np.uint64) for i in order]))
+                if len(totals[-1]) != len(keys):
                     raise ValueError("a block's answers don't fit its question")
-            automaton = Automaton(grams, totals, tokens, kinds, mus)
+            automaton = Automaton(grams, [x[2] for x in known], totals, tokens, kinds, mus)
             n_known, base = automaton.tokens()
             scored.append(pa.table({doc_id: pa.array(row["ids"], left.schema.field("ids").type.value_type), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(grams.n_tokens.astype(np.int64)), "n_known": pa.array(n_known), "train_tokens": pa.array(np.full(len(base), tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(automaton.read())}))
         return pa.concat_tables(scored)
