@@ -19,9 +19,9 @@ from tokenizers import Tokenizer
 from candlework.llm._bytes import buffers, chunks, span_hashes
 
 CHUNK_BYTES = 1 << 18
-#: Distinct pre-tokens that a task remembers, some 20 MB; beyond that it starts anew, which costs time but changes no result.
-MOST_KNOWN = 300_000
-_SLOTS = 1 << 20
+#: Distinct pre-tokens that a worker remembers, 60 MB at most; beyond that it starts anew, which costs time but changes no result.
+MOST_KNOWN = 800_000
+_SLOTS = 1 << 21
 _OTHER, _LETTER, _NUMBER, _BLANK, _UNKNOWN = range(5)
 _END = 0x20000
 
@@ -88,7 +88,7 @@ class Encoder:
         self.mask = _SLOTS - 1
         self.known = 0
         self.counts = np.zeros(1 << 16, np.int32)
-        self.offsets = np.zeros(1 << 16, np.int64)
+        self.offsets = np.zeros(1 << 16, np.uint32)
         self.ids = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
@@ -175,7 +175,7 @@ class Encoder:
         entries, of_row, odd = self.pretokens(data, offsets, low, high)
         counts = self.counts[entries].astype(np.int64)
         ends = np.concatenate(([0], np.cumsum(counts)))
-        at = np.arange(ends[-1]) + np.repeat(self.offsets[entries] - ends[:-1], counts)
+        at = np.arange(ends[-1]) + np.repeat(self.offsets[entries].astype(np.int64) - ends[:-1], counts)
         ids = self.ids[at]
         cut = ends[of_row]
         rows = [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
@@ -197,22 +197,23 @@ class Encoder:
         return out
 
 
-_libraries: dict[str, Tokenizer] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def encoder(name: str) -> Encoder:
-    """A task's encoder for a public tokenizer or a path to a tokenizers file; a worker keeps the file, not what tasks learn.
+    """This worker's encoder for a public tokenizer or a path to a tokenizers file.
 
-    The file must be byte-level BPE by the published pattern, without a normalizer.
+    The file must be byte-level BPE by the published pattern, without a normalizer. What tasks have learned stays with the
+    worker, since learning a pre-token costs some 10 microseconds and most recur.
     """
-    if name not in _libraries:
+    if name not in _encoders:
         library = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
         made = json.loads(library.to_str())
         split = made["pre_tokenizer"] or {}
         if made["normalizer"] or made["model"]["type"] != "BPE" or (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) != ("ByteLevel", False, True):
             raise ValueError(f"{name} isn't plain byte-level BPE")
-        _libraries[name] = library
-    return Encoder(_libraries[name])
+        _encoders[name] = Encoder(library)
+    return _encoders[name]
 
 
 def texts(column, limit: int = CHUNK_BYTES):
