@@ -258,7 +258,7 @@ def features(found: list[Block], nodes: list[_Node]) -> np.ndarray:
     has_main = any(b.node.main and b.node.noise + b.node.name < 0.5 for b in found)
     rows = []
     for b in found:
-        n, node = b.text.count(" ") + 1, b.node
+        n, node = max(b.text.count(" ") + 1, len(b.text.encode()) // 8), b.node  # scripts without blanks have words too
         share = b.linked / b.size if b.size else 0.0
         said = n >= 4 and b.text[-1] in ".!?:;\u3002\u201d\"')"
         plain = not (node.noise or node.name or node.main or node.named)

@@ -30,6 +30,7 @@ PAGES = {
     "camel case names and a cookie bar": (f'<body><div id="cookieConsent"><p>We use cookies to make this site better for you.</p></div><div class="articleBody"><p>{A}</p><p>{B}</p></div><div class="relatedLinks">{MORE}</div></body>', f"{A} {B}"),
     "lists and a quote as content": (f"<body><header>{MENU}</header><main><h1>Bridge to close</h1><p>{A}</p><ul><li>It opened in 1931 and was repaired twice since.</li><li>It carries nine thousand cars a day.</li></ul><blockquote>{C}</blockquote></main><aside>{MORE}</aside></body>", f"Bridge to close {A} It opened in 1931 and was repaired twice since. It carries nine thousand cars a day. {C}"),
     "hidden text, references, scripts": (f'<body><main><p>{A}</p><p style="display: none">Not to be seen by anyone who reads this page.</p><script>var a = "<p>no</p>";</script><p>Tea &amp; cake&nbsp;for\n  all those who came &#233; stayed.</p></main></body>', f"{A} Tea & cake for all those who came é stayed."),
+    "a script without blanks": ("<body><div><a href=/>首页</a> <a href=/n>新闻</a></div><div><h1>旧桥将关闭</h1><p>市议会星期二投票决定关闭旧桥进行维修，工程可能持续到春天。</p><p>车辆将改走北路，该路已为此拓宽，公共汽车每十分钟一班。</p></div><div><a href=/t>条款</a></div></body>", "旧桥将关闭 市议会星期二投票决定关闭旧桥进行维修，工程可能持续到春天。 车辆将改走北路，该路已为此拓宽，公共汽车每十分钟一班。"),
     "unclosed elements": (f"<body><nav>{MENU}</nav><article><p><b>{A}<p>{B}<br>{C}</article><footer>{FOOT}", f"{A} {B} {C}"),
 }
 
