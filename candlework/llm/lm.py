@@ -32,7 +32,7 @@ from candlework.llm._bytes import BLANK_SEPARATED, Words, buffers, mix
 from candlework.llm._store import Scratch
 
 #: Weights of the priors, for n-grams of two tokens, of three and so on; one more than they are is the order.
-MUS = (300.0, 10.0)
+MUS = (3000.0, 30.0)
 ADD = 0.1
 BLOCK_BYTES = 4 << 20
 #: Bytes of text for each shard of the n-gram space.
