@@ -11,12 +11,13 @@ that counts, 0.8, a pair shares no band with probability (1 - 0.8 ** ROWS) ** BA
 
 Verification is on full sets. Equal sets are one class from the start. In each band's bucket every class is compared to
 one pivot only, the class that meets most others in its buckets (of copies, that is their original); the links found make
-components. In buckets that still hold several components, two classes x and y are compared by their differences from
-the pivot p: with Dx the shingles that only one of x and p has, x and y are linked if and only if Dx and Dy share
-``(9 |Dx| - |x| + 9 |Dy| - |y|) / 18`` shingles or more. If x isn't linked to p that is above 0, and it is about half of
-Dx, whatever y is: so the two must share one of a prefix of their differences, about half of each, which is taken in
-order of rarity. Classes of different components that do are verified. No link is lost, and copies that differ from
-their original in unlike places meet nowhere, however many they are.
+components. A bucket that still holds several components gets a reference p, the most central pivot that any of its classes
+has met, and its classes are compared by their differences from p: with Dx the shingles that only one of x and p has, x and
+y are linked if and only if Dx and Dy share ``(9 |Dx| - |x| + 9 |Dy| - |y|) / 18`` shingles or more. If x isn't linked to p
+that is above 0, and it is about half of Dx, whatever y is: so the two must share one of a prefix of their differences,
+about half of each, which is taken in order of rarity. Classes of different components that do are verified. So no link
+between classes that share a bucket is lost, and copies that differ from their original in unlike places meet nowhere,
+however many they are.
 """
 
 from __future__ import annotations
