@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlework.functions.windows import KEY, div, full, lag, last_rows, mean, ordered, recursive_means, span, std, trailing
+from candlework.functions.windows import KEY, div, full, lag, last_rows, mean, ordered, recursive_means, span, std
 from candlework.operators.returns import true_range
 
 LEAST_BARS = 200
