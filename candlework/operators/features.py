@@ -192,7 +192,9 @@ def importance(frame: DataFrame, columns: list[str]) -> DataFrame:
     nxt = frame.withColumn("_next", F.lead("close").over(ordered()) / F.col("close") - 1).where("_next is not null")
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])
     long = nxt.select("_next", F.explode(pairs).alias("p")).select("p.feature", "p.x", F.when(F.col("p.x").isNotNull(), F.col("_next")).alias("y"))
-    value = F.abs(F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y"))).alias("importance")
+    # A constant has no correlation; its deviation, merged from the sums of several tasks, need not be exactly 0.
+    varies = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
+    value = F.when(varies, F.abs(F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y")))).alias("importance")
     out = long.groupBy("feature").agg(value).withColumn("category", category(F.col("feature")))
     return out.orderBy(F.desc_nulls_last("importance"), "feature")
 

@@ -121,6 +121,17 @@ def test_importance_query_ranks_all_features(spark, bars):
     assert found.importance.dropna().between(0, 1).all() and found.importance.notna().sum() > 150
 
 
+def test_importance_of_a_constant_is_null_over_several_tasks(spark):
+    moves = [("T%d" % (i // 50), dt.date(2023, 1, 2) + dt.timedelta(i), 50 + math.sin(i), 1.0, float(i % 7)) for i in range(600)]
+    frame = spark.createDataFrame(moves, "ticker string, ts date, close double, same double, other double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.feature: r.importance for r in features.importance(frame, ["same", "other"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got["same"] is None and 0 < got["other"] < 1
+
+
 def test_universe_from_html(spark):
     page = "<table class='wikitable sortable'><tr><th>S</th></tr><tr><td>X</td></tr></table><table id='constituents'><tr><th>Symbol</th></tr><tr><td><a>BRK.B</a>\n</td><td>b</td></tr><tr><td> MMM </td></tr></table>"
     got = B.universe_from_html(spark.createDataFrame([(page,)], "html string")).orderBy("pos").collect()
