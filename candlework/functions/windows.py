@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEY, TIME = "ticker", "ts"
 
@@ -74,21 +77,51 @@ def run_length(frame: DataFrame, c: str, out: str) -> DataFrame:
     return frame.withColumn(out, F.sum(c).over(runs)).drop("_island")
 
 
-def recursive_means(frame: DataFrame, means: Mapping[str, tuple[str, float]]) -> DataFrame:
-    """Columns y by (x, alpha): y = alpha * x + (1 - alpha) * y of the row before, begun with the first value of x.
+#: Rows that recursive_means holds at once, and those of the series that is not complete.
+HELD = 200_000
 
-    A recursion can't be a window aggregate, so each ticker's rows are read in order by one task; its memory follows the
-    longest single series. Columns may refer to ones before them.
-    """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(TIME, kind="stable")
-        for name, (c, alpha) in means.items():
-            rows[name] = rows[c].astype("float64").ewm(alpha=alpha, adjust=False, ignore_na=True).mean()
-        return rows
+def recursive_means(frame: DataFrame, means: Mapping[str, tuple[str | Callable, float]], keep: str | None = None) -> DataFrame:
+    """Columns y by (x, alpha): y = alpha * x + (1 - alpha) * y of the row before, begun with the first value of x.
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema] + [f"`{n}` double" for n in means])
-    return frame.groupBy(KEY).applyInPandas(run, schema)
+    A recursion can't be a window aggregate, so a ticker's rows are read in order by one task, those of many short series
+    at once; its memory follows the longest single series. x is a column, one of the means before it, or a function of
+    both, given what makes an array (nulls as nan) of a name. With keep, rows where that column is not true are read, but not returned.
+    """
+    # Numbering the rows brings each series to one task, in order; the numbers show where one begins.
+    frame = frame.withColumn("_row", F.row_number().over(ordered()))
+    at, most = frame.columns.index("_row"), HELD
+
+    # Functions within this one travel to the workers whole, which need not have this package.
+    def made(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        row = table["_row"].to_numpy()
+        if row[0] != 1 or ((row[1:] != 1) & (row[1:] != row[:-1] + 1)).any():
+            raise RuntimeError("rows of a series are not together or not in order")
+        series, values = np.cumsum(row == 1), {}
+        column = lambda c: values[c] if c in values else table[c].cast(pa.float64()).to_numpy()
+        for name, (x, alpha) in means.items():
+            x = pd.Series(x(column) if callable(x) else column(x))
+            values[name] = x.groupby(series).ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()
+        table = table.drop_columns(["_row"])
+        for name in means:
+            table = table.append_column(name, pa.array(values[name], pa.float64(), from_pandas=True))
+        yield from (table.filter(table[keep]) if keep else table).to_batches(max_chunksize=10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            starts = np.flatnonzero(batch.column(at).to_numpy() == 1)
+            if n >= most and len(starts):
+                yield from made([*held, batch.slice(0, starts[-1])])
+                held, n, batch = [], 0, batch.slice(starts[-1])
+            held.append(batch)
+            n += batch.num_rows
+        if n:
+            yield from made(held)
+
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in frame.schema if f.name != "_row"] + [T.StructField(n, T.DoubleType()) for n in means])
+    return frame.mapInArrow(run, schema)
 
 
 def span(n: int) -> float:

@@ -6,18 +6,16 @@ bands use the sample deviation; MACD's parts are named, not taken by position; V
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlework.functions.windows import KEY, div, full, lag, last_rows, mean, ordered, recursive_means, span, std
+from candlework.functions.windows import KEY, TIME, div, full, lag, last_rows, mean, ordered, recursive_means, span, std
 from candlework.operators.returns import true_range
 
 LEAST_BARS = 200
-
-
-def _after(k: int, c: str, y: Column) -> Column:
-    """y from the k-th value of c on."""
-    return F.when(F.count(c).over(ordered().rowsBetween(Window.unboundedPreceding, 0)) >= k, y)
+#: Rows of the longest frame of _trailing
+LONGEST = 200
 
 
 #: Indicators that come from recursive means, and the columns whose means they take.
@@ -31,39 +29,70 @@ def indicators(bars: DataFrame, only: tuple[str, ...] | None = None) -> DataFram
     the plan has no Python at all. All other columns that aren't selected are pruned from the plan.
     """
     wanted = set(RECURSIVE) if only is None else set(RECURSIVE) & set(only)
-    need = {c for x in wanted for c in RECURSIVE[x]}
-    c, h, low, v = (F.col(x) for x in ("close", "high", "low", "volume"))
-    diff = c - lag("close")
-    up, down = h - lag("high"), lag("low") - low
+    return _trailing(_running(_recursive(_inputs(bars, wanted), wanted)), wanted)
+
+
+def _needed(wanted: set[str]) -> set[str]:
+    return {c for x in wanted for c in RECURSIVE[x]}
+
+
+def _inputs(bars: DataFrame, wanted: set[str]) -> DataFrame:
+    """Adds the columns whose recursive means are needed."""
+    diff = F.col("close") - lag("close")
+    up, down = F.col("high") - lag("high"), lag("low") - F.col("low")
     inputs = {
         "_gain": F.when(diff.isNotNull(), F.greatest(diff, F.lit(0.0))), "_loss": F.when(diff.isNotNull(), F.greatest(-diff, F.lit(0.0))), "_tr": true_range(),
         "_up": F.when(up.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(0.0)), "_down": F.when(down.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(0.0)),
     }
-    staged = bars.withColumns({k: x for k, x in inputs.items() if k in need})
-    exponential = {"_e12": ("close", span(12)), "_e26": ("close", span(26))}
-    means = {k: m for k, m in exponential.items() if k in need} | {f"{k}_w": (k, 1 / 14) for k in inputs if k in need}
-    staged = recursive_means(staged, means) if means else staged
-    # A second pass over the first one's results keeps the partitioning by ticker: no further exchange.
-    means = {}
-    if "_e12" in need:
-        staged = staged.withColumn("_macd", F.col("_e12") - F.col("_e26"))
-        means |= {"_signal": ("_macd", span(9))} if wanted & {"macd_signal", "macd_hist"} else {}
+    return bars.withColumns({k: x for k, x in inputs.items() if k in _needed(wanted)})
+
+
+def _dx():
+    """The function of which adx is the mean; made here, so that it travels to the workers whole."""
+
+    def over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.divide(a, b, out=np.full(len(a), np.nan), where=b != 0)
+
+    def dx(column) -> np.ndarray:
+        plus, minus = over(100 * column("_up_w"), column("_tr_w")), over(100 * column("_down_w"), column("_tr_w"))
+        return over(100 * np.abs(plus - minus), plus + minus)
+
+    return dx
+
+
+def _recursive(frame: DataFrame, wanted: set[str], keep: str | None = None) -> DataFrame:
+    """Adds the recursive means, those of means too, in one pass."""
+    need = _needed(wanted)
+    means = {k: ("close", span(n)) for k, n in (("_e12", 12), ("_e26", 26)) if k in need} | {f"{k}_w": (k, 1 / 14) for k in ("_gain", "_loss", "_tr", "_up", "_down") if k in need}
+    if wanted & {"macd_signal", "macd_hist"}:
+        means["_signal"] = (lambda column: column("_e12") - column("_e26"), span(9))
     if "adx" in wanted:
-        plus, minus = div(100 * F.col("_up_w"), F.col("_tr_w")), div(100 * F.col("_down_w"), F.col("_tr_w"))
-        staged = staged.withColumn("_dx", div(100 * F.abs(plus - minus), plus + minus))
-        means |= {"_adx": ("_dx", 1 / 14)}
-    staged = recursive_means(staged, means) if means else staged
+        means["_adx"] = (_dx(), 1 / 14)
+    return recursive_means(frame, means, keep) if means else frame
+
+
+def _running(frame: DataFrame) -> DataFrame:
+    """Adds what runs from a series' first row: obv, and how many values there are of columns that need some."""
+    so_far = ordered().rowsBetween(Window.unboundedPreceding, 0)
+    diff = F.col("close") - lag("close")
+    counts = {f"{c}_n": F.count(c).over(so_far) for c in ("_gain", "_tr") if c in frame.columns}
+    return frame.withColumns({"obv": F.sum(F.coalesce(F.signum(diff) * F.col("volume"), F.lit(0.0))).over(so_far), **counts})
+
+
+def _trailing(frame: DataFrame, wanted: set[str]) -> DataFrame:
+    """Adds what looks back over at most LONGEST rows or the day, and what is made of the columns of the other steps."""
+    c, h, low, v = (F.col(x) for x in ("close", "high", "low", "volume"))
     lowest, highest = full(14, F.min("low"), "low"), full(14, F.max("high"), "high")
-    staged = staged.withColumns({"bb_middle": mean("close", 20), "_sd": std("close", 20), "_k": div(100 * (c - lowest), highest - lowest), "sma_20": mean("close", 20), "sma_50": mean("close", 50), "sma_200": mean("close", 200), "volume_sma": mean("volume", 20)})
+    staged = frame.withColumns({"bb_middle": mean("close", 20), "_sd": std("close", 20), "_k": div(100 * (c - lowest), highest - lowest), "sma_20": mean("close", 20), "sma_50": mean("close", 50), "sma_200": mean("close", LONGEST), "volume_sma": mean("volume", 20)})
     day = Window.partitionBy(KEY, F.to_date("ts")).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     out = {
         "bb_upper": F.col("bb_middle") + 2 * F.col("_sd"), "bb_lower": F.col("bb_middle") - 2 * F.col("_sd"), "bb_width": div(400 * F.col("_sd"), F.col("bb_middle")), "stoch_k": mean("_k", 3),
-        "obv": F.sum(F.coalesce(F.signum(diff) * v, F.lit(0.0))).over(ordered().rowsBetween(Window.unboundedPreceding, 0)),
         "vwap": div(F.sum((h + low + c) / 3 * v).over(day), F.sum("volume").over(day)), "volume_ratio": F.when(F.col("volume_sma") > 0, div(v, F.col("volume_sma"))),
     }
+    macd = lambda: F.col("_e12") - F.col("_e26")
     made = {
-        "rsi": lambda: _after(14, "_gain", div(100 * F.col("_gain_w"), F.col("_gain_w") + F.col("_loss_w"))), "macd": lambda: F.col("_macd"), "macd_signal": lambda: F.col("_signal"), "macd_hist": lambda: F.col("_macd") - F.col("_signal"),
-        "ema_12": lambda: F.col("_e12"), "ema_26": lambda: F.col("_e26"), "atr": lambda: _after(14, "_tr", F.col("_tr_w")), "adx": lambda: _after(28, "_tr", F.col("_adx")),
+        "rsi": lambda: F.when(F.col("_gain_n") >= 14, div(100 * F.col("_gain_w"), F.col("_gain_w") + F.col("_loss_w"))), "macd": macd, "macd_signal": lambda: F.col("_signal"), "macd_hist": lambda: macd() - F.col("_signal"),
+        "ema_12": lambda: F.col("_e12"), "ema_26": lambda: F.col("_e26"), "atr": lambda: F.when(F.col("_tr_n") >= 14, F.col("_tr_w")), "adx": lambda: F.when(F.col("_tr_n") >= 28, F.col("_adx")),
     }
     staged = staged.withColumns(out | {k: made[k]() for k in made if k in wanted}).withColumn("stoch_d", mean("stoch_k", 3))
     return staged.drop(*[x for x in staged.columns if x.startswith("_")])
@@ -83,8 +112,12 @@ def bb_signal(percent: Column) -> Column:
 
 def analyze(bars: DataFrame) -> DataFrame:
     """A row for each ticker: its last bar's indicators and signals, nulls where it has fewer than 200 bars."""
-    whole = Window.partitionBy(KEY)
-    last = last_rows(indicators(bars).withColumn("n_bars", F.count(F.lit(1)).over(whole)))
+    whole, wanted = Window.partitionBy(KEY), set(RECURSIVE)
+    staged = _running(_inputs(bars, wanted)).withColumns({"n_bars": F.count(F.lit(1)).over(whole), "_last": F.max(TIME).over(whole), "_at": F.row_number().over(ordered())})
+    # The last row's frames reach back over so many rows, or over its day: no others are needed after the recursion.
+    near = (F.col("n_bars") - F.col("_at") < LONGEST) | (F.to_date(TIME) == F.to_date("_last"))
+    staged = _recursive(staged.withColumn("_near", F.coalesce(near, F.lit(False))).drop("_last", "_at"), wanted, "_near")
+    last = last_rows(_trailing(staged, wanted))
     enough = F.col("n_bars") >= LEAST_BARS
     keep = [c for c in last.columns if c not in (*bars.columns, "n_bars")]
     last = last.withColumns({c: F.when(enough, F.col(c)) for c in keep})

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from candlework.functions import windows
 from candlework.operators import features, indicators, labels, model, prepare, screen
 from candlework.plans import queries as plans
 from candlework.plans.settings import DataSettings, ModelSettings, ScreenSettings, Settings
@@ -70,6 +71,43 @@ def test_screen(bars):
     assert rows.set_index("ticker").weekly_change["T0"] == pytest.approx(c[-1] / c[-5] - 1)
 
 
+def test_recursive_means_of_many_series_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(windows, "HELD", 40)
+    lengths = [1, 2, 90, 3, 30, 7, 55, 1, 12]
+    rows = [(f"T{k}", i, None if (i + k) % 5 == 0 else math.sin(i * k), i % 3 == 0, f"{k} {i}") for k, n in enumerate(lengths) for i in range(n)]
+    frame = spark.createDataFrame(rows, "ticker string, ts int, x double, keep boolean, other string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        means = {"a": ("x", 0.3), "b": ("a", 0.1), "c": (lambda column: column("a") - column("x"), 0.5)}
+        got = windows.recursive_means(frame, means).orderBy("ticker", "ts").toPandas()
+        kept = windows.recursive_means(frame, means, "keep").orderBy("ticker", "ts").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = pd.DataFrame(rows, columns=["ticker", "ts", "x", "keep", "other"])
+    mean = lambda c, alpha: want.groupby("ticker")[c].transform(lambda g: g.ewm(alpha=alpha, adjust=False, ignore_na=True).mean())
+    want["a"] = mean("x", 0.3)
+    want = want.assign(b=mean("a", 0.1), _d=want.a - want.x)
+    want["c"] = mean("_d", 0.5)
+    want = want.drop(columns="_d")
+    pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-13)
+    pd.testing.assert_frame_equal(kept, want[want.keep].reset_index(drop=True), check_dtype=False, rtol=1e-13)
+
+
+def test_analysis_is_the_last_row_of_indicators_and_calls_python_once(spark):
+    daily = walk(2, 450).query("ticker == 'T0' or ts < '2023-09-01'".replace("'2023-09-01'", "@dt.date(2023, 9, 1)"))
+    rows = [(r.ticker, dt.datetime.combine(r.ts, dt.time()), *r[3:]) for r in daily.itertuples()]
+    rows += [("M", dt.datetime(2024, 1, 1 + i // 300, 9) + dt.timedelta(minutes=i % 300), *r[3:]) for i, r in enumerate(walk(1, 590).itertuples())]
+    bars = spark.createDataFrame(rows, "ticker string, ts timestamp, open double, high double, low double, close double, volume double")
+    last = indicators.analyze(bars)
+    plan = last._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FlatMapGroups" not in plan
+    got = last.orderBy("ticker").toPandas()
+    whole = indicators.indicators(bars).toPandas().sort_values("ts").groupby("ticker").tail(1).sort_values("ticker").reset_index(drop=True)
+    assert list(got.n_bars) == [590, 450, 242]
+    assert got[list(whole.columns)].notna().all(axis=None)
+    pd.testing.assert_frame_equal(got[list(whole.columns)], whole, rtol=1e-12)
+
+
 def test_report_rounds_as_printf(spark):
     numbers = [(107.25, 0.056, 1.25, 65.0), (107.125, -0.0004, 0.35, 0.05), (1.005, 0.0125, 2.75, 62.25), (float("inf"), float("nan"), 9.95, -1.25), (1.0, None, 1.0, 1.0)]
     kinds = "ticker string, current_price double, weekly_change double, volume_ratio double, quality_score double, recommendation string"
