@@ -153,8 +153,19 @@ def distribution(labels: DataFrame) -> DataFrame:
 
 
 def held_back(bars: DataFrame, ahead: int = 20) -> DataFrame:
-    """The windows of 60 bars before each ticker's last ahead ones, with actual_return, what came after."""
-    frame = windows(bars).withColumns({"_last": lead("close", W - 1), "_then": lead("close", W - 1 + ahead)}).where(F.col("_i") == F.col("_n") - W - ahead)
+    """The windows of 60 bars before each ticker's last ahead ones, with actual_return, what came after.
+
+    A row for each ticker with enough bars, that of the window's first bar, with its arrays as windows() makes them: only
+    the last bars are collected, once for each ticker, not a window at each bar.
+    """
+    counted = bars.withColumns({"_i": F.row_number().over(ordered()) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(KEY))})
+    last = counted.where((F.col("_i") >= F.col("_n") - W - ahead) & (F.col("_n") >= W + ahead))
+    held = F.array_sort(F.collect_list(F.struct("_i", F.struct(*counted.columns).alias("row")))).alias("_held")
+    frame = last.groupBy(KEY).agg(held).select(F.col("_held")[0]["row"].alias("_first"), F.slice(F.col("_held")["row"], 1, W).alias("_rows"), F.col("_held")[W - 1]["row"]["close"].alias("_last"), F.col("_held")[W + ahead - 1]["row"]["close"].alias("_then"))
+    value = lambda c: F.filter(F.col("_rows")[c], lambda x: x.isNotNull())
+    full = F.size(value("close")) == W
+    arrays = {a: F.when(full, value(c)) for a, c in (("w_o", "open"), ("w_h", "high"), ("w_l", "low"), ("w_c", "close"), ("w_v", "volume"))}
+    frame = frame.select("_first.*", *[x.alias(a) for a, x in arrays.items()], "_last", "_then")
     return frame.withColumns({"actual_return": div(F.col("_then") - F.col("_last"), "_last"), "start_idx": F.col("_i").cast("long")})
 
 

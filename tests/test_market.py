@@ -108,6 +108,21 @@ def test_analysis_is_the_last_row_of_indicators_and_calls_python_once(spark):
     pd.testing.assert_frame_equal(got[list(whole.columns)], whole, rtol=1e-12)
 
 
+def test_held_back_windows_are_those_of_all_windows_and_collected_once(spark):
+    rows = walk(3, 130).query("ticker != 'T1' or ts < @dt.date(2023, 3, 23)")
+    rows = pd.concat([rows, walk(1, 79).assign(ticker="short"), walk(1, 80).assign(ticker=None)])
+    rows = [tuple(None if isinstance(x, float) and math.isnan(x) else x for x in r) for r in rows.itertuples(index=False)]
+    rows[60] = (*rows[60][:5], None, None)
+    rows[400 - 61] = (*rows[400 - 61][:3], None, *rows[400 - 61][4:])
+    bars = spark.createDataFrame(rows, "ticker string, ts date, open double, high double, low double, close double, volume double")
+    frame = labels.windows(bars).withColumns({"_last": windows.lead("close", 59), "_then": windows.lead("close", 79)}).where("_i = _n - 80")
+    frame = frame.withColumns({"actual_return": F.expr("(_then - _last) / _last"), "start_idx": F.col("_i").cast("long")})
+    held = labels.held_back(bars)
+    assert "collect_list" not in "".join(x for x in held._jdf.queryExecution().executedPlan().toString().splitlines() if "Window" in x)
+    got, want = ({r.ticker: r.asDict() for r in x.collect()} for x in (held, frame))
+    assert got == want and len(got) == 4 and any(r["w_c"] is None for r in got.values())
+
+
 def test_report_rounds_as_printf(spark):
     numbers = [(107.25, 0.056, 1.25, 65.0), (107.125, -0.0004, 0.35, 0.05), (1.005, 0.0125, 2.75, 62.25), (float("inf"), float("nan"), 9.95, -1.25), (1.0, None, 1.0, 1.0)]
     kinds = "ticker string, current_price double, weekly_change double, volume_ratio double, quality_score double, recommendation string"
